@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import components, terms
+from kinweave.llm import components, leakage, terms, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,7 +40,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(_t(spark, d, "links_table"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("item_id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_off(_t(spark, d, "documents"), also="title")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(_t(spark, d, "documents"), also="title")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p9_found, p10_found, p10_rates)}
 
 _POSTS = """
 WITH recs AS (SELECT record_id, any_value(terms) AS terms FROM record_terms WHERE terms IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),

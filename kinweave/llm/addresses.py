@@ -199,7 +199,7 @@ def _towns(p: DataFrame) -> DataFrame:
     the name is within two edits of a single nearest town's name in the state; the code is a town's. Else the combination is its own town.
     """
     combos = p.groupBy("city", "state", "zip").agg(F.count("*").alias("n"))
-    full = combos.where((F.col("city") != "") & (F.col("zip") != ""))
+    full = combos.where((F.col("city") != "") & (F.col("zip") != "") & (F.col("state") != ""))
     pairs = full.groupBy("city", "zip").agg(F.sum("n").alias("n"), F.max_by("state", "n").alias("state"))
     by_zip = pairs.groupBy("zip").agg(F.max(F.struct("n", "city", "state")).alias("top")).select("zip", "top.city", "top.state", "top.n")
     by_city = pairs.groupBy("city", "state").agg(F.max(F.struct("n", "zip")).alias("top")).select("city", "state", F.col("top.zip").alias("zip"))

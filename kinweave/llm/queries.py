@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import addresses, components, leakage, terms, truncation
+from kinweave.llm import addresses, components, leakage, terms, truncation, variants
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_location(_t(spark, d, "addresses"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.same_entity(_t(spark, d, "person_names"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("item_id", "doc_id")
 
@@ -56,7 +60,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_t(spark, d, "documents"), also="title")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p7_found, p9_found, p10_found, p10_rates)}
 
 _POSTS = """
 WITH recs AS (SELECT record_id, any_value(terms) AS terms FROM record_terms WHERE terms IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),

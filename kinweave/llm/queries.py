@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import addresses, components, leakage, terms, truncation, variants
+from kinweave.llm import addresses, components, leakage, matching, terms, truncation, variants
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +44,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_location(_t(spark, d, "addresses"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = matching.matches(_t(spark, d, "rldata_left"), _t(spark, d, "rldata_right"))
+    return found.where("confidence >= 0.5").select("record_id_l", "record_id_r")
+
+
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.matches(_t(spark, d, "rldata_left"), _t(spark, d, "rldata_right"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.same_entity(_t(spark, d, "person_names"))
 
@@ -60,7 +69,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_t(spark, d, "documents"), also="title")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p7_found, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p3_found, p3_matches, p7_found, p9_found, p10_found, p10_rates)}
 
 _POSTS = """
 WITH recs AS (SELECT record_id, any_value(terms) AS terms FROM record_terms WHERE terms IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),

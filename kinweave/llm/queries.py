@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import addresses, components, leakage, matching, terms, truncation, variants
+from kinweave.llm import addresses, components, leakage, matching, packing, terms, truncation, variants
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -57,6 +57,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.same_entity(_t(spark, d, "person_names"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents").withColumn("cluster", packing.copies("text"))
+    sizes = packing.token_counts(documents, keep=("cluster",))
+    return packing.pack(sizes, _t(spark, d, "containers"), cluster="cluster")
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(_packed(spark, d), _t(spark, d, "containers"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(_t(spark, d, "documents"), _t(spark, d, "benchmark")).select("item_id", "doc_id")
 
@@ -69,7 +83,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_t(spark, d, "documents"), also="title")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p3_found, p3_matches, p7_found, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p3_found, p3_matches, p7_found, p8_pack, p8_fill, p9_found, p10_found, p10_rates)}
 
 _POSTS = """
 WITH recs AS (SELECT record_id, any_value(terms) AS terms FROM record_terms WHERE terms IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from kinweave.runtime import lookup
 
-#: Bound of the sample that the classifier is fitted on: documents, taken by the hash of their id.
-SAMPLE = 20_000
+#: Bounds of the sample that the classifier is fitted on: documents, taken by the hash of their id, of so many characters at most.
+SAMPLE = 10_000
+LONGEST = 4_000
 #: Examples of either kind made of one sampled document.
 EXAMPLES = 6
 BUCKETS = 2**18
@@ -194,7 +195,7 @@ def cut_scores(documents: DataFrame, id: str = "doc_id", text: str = "text", sou
     key = lambda s, n: F.concat_ws("\u0001", s, n.cast("string"))
     docs = docs.withColumn("key", key(F.col("source"), F.length("text")))
     marked = lookup(docs, limits.select(key(F.col("source"), F.col("size")).alias("key"), F.lit(0.0).alias("to_limit")), "key", "left")
-    rows = marked.where(F.length(F.btrim("text")) > 0).orderBy(F.xxhash64("id"), "id").limit(sample).select("text", "also", "to_limit").collect()
+    rows = marked.where((F.length(F.btrim("text")) > 0) & (F.length("text") <= LONGEST)).orderBy(F.xxhash64("id"), "id").limit(sample).select("text", "also", "to_limit").collect()
     texts = [r["text"] for r in rows]
     others = [r["also"] for r in rows if r["also"] and len(r["also"]) <= 60]
     near = [float("nan") if r["to_limit"] is None else r["to_limit"] for r in rows]

@@ -67,6 +67,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table (as from materialize()) in at least as many partitions as there are cores, for stages that run much Python."""
+    n = parallelism(stored.sparkSession)
+    return stored if stored.rdd.getNumPartitions() >= n else stored.repartition(n)
+
+
 def hot_keys(df: DataFrame, key: str, least: int = 10_000, share: float = HOT_SHARE) -> DataFrame:
     """Keys with at least `least` rows and the share `share` of all rows, with their count as `hot_n`: at most 1 / share rows."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("hot_n"))

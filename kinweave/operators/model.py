@@ -160,7 +160,7 @@ class Linkage:
         return Linked(self.left, self.right, self.links)
 
     def right_linked(self) -> Linked:
-        turned = self.links.withColumnsRenamed({"record_id_l": "record_id_r", "record_id_r": "record_id_l"})
+        turned = self.links.select(F.col("record_id_r").alias("record_id_l"), F.col("record_id_l").alias("record_id_r"))
         return Linked(self.right, self.left, turned)
 
     def pairs(self) -> Links:

@@ -36,7 +36,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     """Distance along the surface of a sphere. Null in, null out."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def usable(lat: Column, lon: Column) -> Column:

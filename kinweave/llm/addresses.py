@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.edits import close_pairs
-from kinweave.runtime import lookup, materialize, once
+from kinweave.runtime import lookup, materialize, once, spread
 
 #: Street types and how people write them.
 TYPES = {
@@ -179,7 +179,7 @@ _PARSED = "kind string, number string, direction string, name string, type strin
 def parsed(addresses: DataFrame, id: str = "record_id") -> DataFrame:
     """Column id and the parts that parse() finds, a row a record. If deliveries differ, the least one counts; a null id is no record."""
     kind = addresses.schema[id].dataType.simpleString()
-    rows = once(addresses.select(F.col(id).alias("id"), *COLUMNS), "id", *COLUMNS)
+    rows = spread(materialize(once(addresses.select(F.col(id).alias("id"), *COLUMNS), "id", *COLUMNS)))
 
     def run(batches):
         names = [c.split()[0] for c in _PARSED.split(", ")]

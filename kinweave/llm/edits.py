@@ -43,54 +43,27 @@ def deletions(s: str) -> set[str]:
     return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
 
 
-def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
-    """Jaro-Winkler similarity; 0 if either is empty."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    common = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                common.append(c)
-                break
-    m = len(common)
-    if not m:
-        return 0.0
-    swapped = sum(x != y for x, y in zip(common, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * weight * (1 - jaro)
-
-
 def close_pairs(few: DataFrame, many: DataFrame, text: str, same: list[str], most: int = 2, more: bool = True) -> DataFrame:
     """Pairs of different texts within `most` edits that agree in the columns `same`: those, {text}, n, other, other_n and edits.
 
-    Texts meet under a common deletion of one character (which finds all that are one edit apart), or a common beginning
-    or end of five characters; what meets is measured. With `more`, only others with at least as large an n are looked at. Both tables
+    Texts meet under a common deletion of one character (which finds all that are one edit apart), or the same first character with either the
+    same four at the beginning or the same five at the end of the last word; what meets is measured. With `more`, only others with at least as large an n are looked at. Both tables
     have the column n and a row for each text.
     """
 
     def keys(df: DataFrame, n: str) -> DataFrame:
         t = F.col(text)
         cut = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-        ends = F.array(F.concat(F.lit("<"), F.substring(t, 1, 5)), F.concat(F.lit(">"), F.substring(t, -5, 5)))
+        last = F.element_at(F.split(t, " "), -1)
+        ends = F.array(F.concat(F.lit("<"), F.substring(t, 1, 1), F.substring(last, 1, 4)), F.concat(F.lit(">"), F.substring(t, 1, 1), F.substring(t, -5, 5)))
         every = F.transform(F.array_distinct(F.concat(F.array(t), cut, ends)), lambda k: F.xxhash64(k, *[F.col(c) for c in same]))
         return df.where(F.length(text) > 0).select(*same, t.alias(n), F.col("n").alias(f"{n}_n"), F.explode(every).alias("key"))
 
     met = keys(few, "a").join(keys(many, "other"), ["key", *same]).where(F.col("a") != F.col("other"))
     if more:
         met = met.where(F.col("other_n") >= F.col("a_n"))
-    met = met.where(F.abs(F.length("a") - F.length("other")) <= most).select(*same, "a", "a_n", "other", "other_n").distinct()
-    met = met.where(F.levenshtein("a", "other", 2 * most) >= 0)
+    met = met.where((F.abs(F.length("a") - F.length("other")) <= most) & (F.levenshtein("a", "other", 2 * most) >= 0))
+    met = met.select(*same, "a", "a_n", "other", "other_n").distinct()
 
     @F.pandas_udf("int")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:

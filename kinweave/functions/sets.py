@@ -26,19 +26,26 @@ def term_idf(df: DataFrame, terms: str) -> DataFrame:
     return document_counts(df, terms).crossJoin(F.broadcast(total)).select("term", F.log(F.col("n_all") / F.col("n_records")).alias("idf"))
 
 
+def _counts_of_sorted(s: Column) -> Column:
+    """Map of each element to its number of occurrences in a sorted array: the distances between first places."""
+    first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    after = F.concat(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), F.array(F.size(s) + 1))
+    counts = F.zip_with(first, after, lambda p, q: (q - p).cast("bigint"))
+    some = F.map_from_arrays(F.transform(first, lambda i: F.element_at(s, i)), counts)
+    return F.when(F.size(s) > 0, some).when(s.isNotNull(), F.map_from_arrays(s, F.array().cast("array<bigint>")))
+
+
 def array_value_counts(a: Column) -> Column:
-    """Map of each element to its number of occurrences, without nulls; {} for [], null for null. Without a shuffle."""
-    some = F.array_sort(F.filter(a, lambda x: x.isNotNull()))
-    # in order, an element's count is the distance between its first place and that of the next
-    distinct = F.array_distinct(some)
-    first = F.transform(distinct, lambda x: F.array_position(some, x).cast("bigint"))
-    after = F.concat(F.slice(first, 2, F.greatest(F.size(first), F.lit(1))), F.array((F.size(some) + 1).cast("bigint")))
-    counts = F.zip_with(first, after, lambda p, q: q - p)
-    return F.when(F.size(a) == 0, F.map_from_arrays(some, F.array().cast("array<bigint>"))).when(F.size(distinct) == 0, F.map_from_arrays(some, F.array().cast("array<bigint>"))).otherwise(F.map_from_arrays(distinct, counts))
+    """Map of each element to its number of occurrences, without nulls; {} for [], null for null. Without a shuffle.
+
+    For long arrays use add_array_value_counts(), which sorts each array once.
+    """
+    return _counts_of_sorted(F.array_sort(F.filter(a, lambda x: x.isNotNull())))
 
 
 def add_array_value_counts(df: DataFrame, terms: str, result: str = "{name}_counts") -> DataFrame:
-    return df.withColumn(result.format(name=terms), array_value_counts(F.col(terms)))
+    ordered = df.withColumn("__sorted", F.array_sort(F.filter(F.col(terms), lambda x: x.isNotNull())))
+    return ordered.withColumn(result.format(name=terms), _counts_of_sorted(F.col("__sorted"))).drop("__sorted")
 
 
 def add_tfidf(df: DataFrame, terms: str, result: str = "{name}_tfidf", normalize: bool = True, id: str | None = None) -> DataFrame:
@@ -48,10 +55,14 @@ def add_tfidf(df: DataFrame, terms: str, result: str = "{name}_tfidf", normalize
     """
     name, key = result.format(name=terms), id or "__row"
     base = df if id else df.withColumn("__row", F.monotonically_increasing_id())
-    counted = base.select(key, array_value_counts(F.col(terms)).alias("__counts"))
+    counted = add_array_value_counts(base.select(key, terms), terms, "__counts").select(key, "__counts")
     length = F.sqrt(F.aggregate(F.map_values("__counts"), F.lit(0.0), lambda s, x: s + x * x))
     each = counted.select(key, length.alias("__length"), F.explode("__counts").alias("term", "__n"))
-    scored = lookup(each, term_idf(df, terms), "term")
+    total = df.where(F.col(terms).isNotNull()).agg(F.count("*").alias("n_all"))
+    idf = document_counts(df, terms).crossJoin(F.broadcast(total)).withColumn("idf", F.log(F.col("n_all") / F.col("n_records")))
+    # terms in a hundredth of all records: at most a hundred times as many as a record has on average
+    hot = idf.where((F.col("n_records") >= 10_000) & (F.col("n_records") * 100 >= F.col("n_all"))).select("term")
+    scored = lookup(each, idf.select("term", "idf"), "term", hot=hot)
     weight = F.col("__n") * F.col("idf") / (F.col("__length") if normalize else F.lit(1.0))
     maps = scored.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", weight.alias("w"))))).alias("__map"))
     empty = F.map_from_arrays(F.slice(F.col(terms), 1, 0), F.array().cast("array<double>"))

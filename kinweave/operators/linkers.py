@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.operators.joins import _Suffixed, condition, or_join
 from kinweave.operators.model import Linkage
@@ -243,15 +246,42 @@ def lsh_curves(spark: Any, grid: Iterable[tuple[int, int]] = LSH_GRID, points: i
     return j.select("band_size", "n_bands", "jaccard", (1 - F.pow(1 - F.pow("jaccard", F.col("band_size")), F.col("n_bands"))).alias("p"))
 
 
+@lru_cache(maxsize=8)
+def _hash_functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 2**63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
+def signature(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Least value of each of n multiply-and-shift functions over the hashes, in chunks of them."""
+    a, b = _hash_functions(n, seed)
+    out = np.full(n, 2**64 - 1, np.uint64)
+    for lo in range(0, len(hashes), 8192):
+        x = hashes[lo : lo + 8192, None].astype(np.uint64) * a[None, :] + b[None, :]
+        np.minimum(out, (x ^ (x >> np.uint64(32))).min(axis=0), out=out)
+    return out
+
+
 def minhash_keys(terms: Column, band_size: int, n_bands: int, seed: int = 42) -> Column:
     """One key a band: the band's minima over the terms of `band_size` hash functions, hashed. Null for null and empty arrays.
 
-    Each term is hashed once; the functions are odd multiples and xors of that hash, so that codegen has little to do.
+    Terms are hashed once, in the JVM; the minima of each row's hashes are taken by numpy, an Arrow batch at a time.
     """
-    base = F.transform(F.filter(terms, lambda t: t.isNotNull()), lambda t: F.xxhash64(t, F.lit(seed)))
-    minimum = lambda i: F.array_min(F.transform(base, lambda h: F.xxhash64(h, F.lit(seed + 7919 * (i + 1)))))
-    bands = [F.xxhash64(F.lit(b), *[minimum(b * band_size + r) for r in range(band_size)]) for b in range(n_bands)]
-    return F.when(F.size(base) > 0, F.array(*bands))
+    weights, _ = _hash_functions(band_size, seed + 1)
+    salts = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(h: pd.Series) -> pd.Series:
+        out = []
+        for x in h:
+            if x is None or len(x) == 0:
+                out.append(None)
+                continue
+            s = signature(np.asarray(x, np.int64).view(np.uint64), band_size * n_bands, seed).reshape(n_bands, band_size)
+            out.append(((s * weights).sum(axis=1, dtype=np.uint64) ^ salts).view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return keys(F.transform(F.filter(terms, lambda t: t.isNotNull()), lambda t: F.xxhash64(t, F.lit(seed))))
 
 
 @dataclass(frozen=True)

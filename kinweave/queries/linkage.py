@@ -208,12 +208,12 @@ def lsh_curve_table(s, d):
 
 
 def minhash_links(s, d):
-    docs = t(s, d, "documents").select(F.col("doc_id").alias("record_id"), "text")
-    words = lambda df: F.when(df["text"].isNotNull(), F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.split("text", " ")) - 5, F.lit(0))), lambda i: F.array_join(F.slice(F.split("text", " "), i + 1, 5), " "))))
-    docs = docs.withColumn("shingles", words(docs))
-    # copies are one text: pairs of different texts, with the members of each class told beside
-    texts = docs.where(F.size("shingles") > 0).groupBy("text").agg(F.min("record_id").alias("record_id"), F.first("shingles").alias("shingles"))
-    return MinhashLshLinker("shingles", band_size=4, n_bands=8)(texts, texts).links
+    # copies are one text: pairs are those of different texts, each under its least id
+    texts = t(s, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("record_id"))
+    words = texts.select("record_id", F.split("text", " ").alias("words")).where(F.size("words") >= 5)
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5))))
+    docs = words.select("record_id", shingles.alias("shingles"))
+    return MinhashLshLinker("shingles", band_size=4, n_bands=8)(docs, docs).links
 
 
 def sample_pairs(s, d):

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.edits import close_pairs
@@ -162,7 +162,7 @@ def parse(street1: str | None, street2: str | None, city: str | None, state: str
             rest, letter = f"{letter} {rest}", ""
         if rest.strip() and not re.fullmatch(r"(?:st|nd|rd|th)\b.*", rest):
             number, text = m[1].lstrip("0") + letter, rest
-    if number:
+    if number or re.search(r"\d[a-z]?\s+#\s*\d+\s?[a-z]?$", text):
         text = " ".join(_UNIT_SIGN.sub(" ", f" {text} ").split())
     if not number and (m := _FINAL.search(text)):
         number, text = m[1].lstrip("0") + (m[2] or ""), text[: m.start()].strip()
@@ -219,26 +219,40 @@ def _towns(p: DataFrame) -> DataFrame:
     return c.groupBy("city", "state", "zip").agg(F.min(town).alias("town"))
 
 
-def _spellings(houses: DataFrame) -> DataFrame:
+def _first_words(houses: DataFrame) -> list[str]:
+    """First words of names of several words, each in a thousandth of such records: at most a thousand. None is another one's misspelling."""
+    first = houses.where(F.contains("name", F.lit(" "))).groupBy(F.split("name", " ")[0].alias("word")).agg(F.count("*").alias("n"))
+    total = first.agg(F.sum("n").alias("n_all"))
+    found = first.crossJoin(F.broadcast(total)).where((F.col("n") * 1000 >= F.col("n_all")) & (F.col("n") >= 3))
+    return sorted(r["word"] for r in found.select("word").collect())
+
+
+def _one_word(first: list[str]) -> Column:
+    """The names in `name` and `other` don't begin with two different ones of these words."""
+    a, b = F.split("name", " ")[0], F.split("other", " ")[0]
+    return (a == b) | ~(a.isin(first) & b.isin(first)) if first else F.lit(True)
+
+
+def _spellings(houses: DataFrame, first: list[str]) -> DataFrame:
     """Columns town, name and street for names that are another street's misspelling: rare beside one within two edits in their town."""
     names = materialize(houses.groupBy("town", "name").agg(F.count("*").alias("n")).where(F.col("name").rlike("[a-z]")))
     rare = names.where(F.length("name") >= 4)
     close = close_pairs(rare, names.where(F.col("n") >= 2), "name", ["town"])
     ok = F.when(F.col("edits") == 1, F.col("other_n") >= 2 * F.col("n")).otherwise((F.col("other_n") >= 3 * F.col("n")) & (F.length("name") >= 6))
-    best = close.where(ok).groupBy("town", "name").agg(F.min(F.struct("edits", (-F.col("other_n")).alias("m"), "other")).alias("best"))
+    best = close.where(ok & _one_word(first)).groupBy("town", "name").agg(F.min(F.struct("edits", (-F.col("other_n")).alias("m"), "other")).alias("best"))
     step = materialize(best.select("town", "name", F.col("best.other").alias("street")))
     again = step.select("town", F.col("name").alias("street"), F.col("street").alias("further"))
     return step.join(again, ["town", "street"], "left").select("town", "name", F.coalesce("further", "street").alias("street"))
 
 
-def _lone(houses: DataFrame) -> DataFrame:
+def _lone(houses: DataFrame, first: list[str]) -> DataFrame:
     """Columns town, number, name and street: names in few records join a close name of the same house number, the more frequent or first one."""
     few = houses.groupBy("town", "name").agg(F.count("*").alias("n_name"))
     forms = houses.groupBy("town", "number", "name").agg(F.count("*").alias("n")).join(few, ["town", "name"])
     forms = materialize(forms.where(F.col("name").rlike("[a-z]") & (F.length("name") >= 5)).select("town", "number", "name", F.col("n_name").alias("n")))
     close = close_pairs(forms.where(F.col("n") <= 2), forms, "name", ["town", "number"])
     before = (F.col("other_n") > F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other") < F.col("name")))
-    best = close.where(before & (F.col("edits") <= F.when(F.length("name") >= 6, 2).otherwise(1)))
+    best = close.where(before & _one_word(first) & (F.col("edits") <= F.when(F.length("name") >= 6, 2).otherwise(1)))
     best = best.groupBy("town", "number", "name").agg(F.min(F.struct("edits", (-F.col("other_n")).alias("m"), "other")).alias("best"))
     step = materialize(best.select("town", "number", "name", F.col("best.other").alias("street")))
     again = step.select("town", "number", F.col("name").alias("street"), F.col("street").alias("further"))
@@ -287,9 +301,10 @@ def locations(addresses: DataFrame, id: str = "record_id") -> DataFrame:
     p = materialize(p.select("id", "kind", "town", "number", "direction", "name", "type"))
     boxes = p.where(F.col("kind") == "box").select("id", F.concat_ws("|", F.lit("box"), "town", "number").alias("location"))
     houses = p.where(F.col("kind") == "house")
-    houses = houses.join(_spellings(houses), ["town", "name"], "left").withColumn("name", F.coalesce("street", "name")).drop("street")
+    first = _first_words(houses)
+    houses = houses.join(_spellings(houses, first), ["town", "name"], "left").withColumn("name", F.coalesce("street", "name")).drop("street")
     houses = materialize(houses)
-    houses = houses.join(_lone(houses), ["town", "number", "name"], "left").withColumn("street", F.coalesce("street", "name")).drop("name")
+    houses = houses.join(_lone(houses, first), ["town", "number", "name"], "left").withColumn("street", F.coalesce("street", "name")).drop("name")
     houses = materialize(houses)
     done = houses.join(_completed(houses), ["town", "number", "street", "direction", "type"])
     found = done.select("id", F.concat_ws("|", F.lit("house"), "town", "number", "street", "full_direction", "full_type").alias("location"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1e-4
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def session(cores: int | str = "*", partitions: int = 8, app: str = "kinweave") -> SparkSession:
@@ -31,12 +32,13 @@ def session(cores: int | str = "*", partitions: int = 8, app: str = "kinweave")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one of this process where that is unset (local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        _written.append((spark, at))
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="kinweave-"))
+            _written.append((spark, _own[0]))
+        at = _own[0]
     return at.rstrip("/")
 
 
@@ -51,6 +53,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def drop_materialized() -> None:
     """Delete what materialize() wrote; runs at exit as well."""
+    _own.clear()
     while _written:
         spark, at = _written.pop()
         try:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ HOT_SHARE = 1e-4
 
 _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
+_shipped: set[str] = set()
 
 
 def session(cores: int | str = "*", partitions: int = 8, app: str = "kinweave") -> SparkSession:
@@ -66,6 +69,20 @@ def drop_materialized() -> None:
 atexit.register(drop_materialized)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that their Python finds it wherever the driver's was loaded from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="kinweave-code-")) / "kinweave_code.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -166,3 +166,13 @@ def test_skip_gram_puts_companions_together():
     v = embed.skip_gram(records, pairs=60_000)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert v[0] @ v[1] > v[0] @ v[11] + 0.3
+
+
+def test_calibration_stays_finite_and_splits_the_pairs():
+    rng = np.random.default_rng(3)
+    for n, share in ((4, 0.5), (6_000, 0.2), (6_000, 0.001)):
+        y = (rng.random(n) < share).astype(float)
+        x = np.c_[np.where(y == 1, 6, -8) + rng.normal(0, 1, n), np.where(y == 1, 3, -6), np.where(y == 1, 8, -8) + rng.normal(0, 3, n), rng.random(n), rng.random(n), np.ones(n)]
+        w = matching.calibrate(x, y)
+        assert np.isfinite(w).all() and (((x @ w) > 0) == (y == 1)).all()
+    assert np.allclose(matching.calibrate(np.zeros((0, 6)), np.zeros(0)), matching.START)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,26 @@ def deletions(s: str) -> set[str]:
     return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
 
 
+def close_keys(w: str, most: Callable[[int], int] = lambda n: 2, longest: int = 12) -> set[str]:
+    """Keys of which any two strings within most(n) edits share one, n being the length of the shorter; most(n) is three at most.
+
+    With one edit, and where the strings are short, those are what is left after as many deletions. Of the others' beginnings and ends, of
+    half their length but at most `longest`, one has at most one edit, so that they share what is left of it after one deletion.
+    """
+    out = set()
+    for n in range(max(len(w) - 3, 1), len(w) + 1):
+        k = most(n)
+        if len(w) - n > k:
+            continue
+        if k < 2 or n < (7 if k == 2 else 9):
+            # k letters less in the longer string are 0 to k less in the shorter
+            out |= {"".join(x) for d in range(0 if n == len(w) else k, min(k, len(w)) + 1) for x in combinations(w, len(w) - d)}
+        else:
+            h = min((n + 1) // 2 if k == 2 else (n - 1) // 2, longest)  # a swap of neighbours touches one of the two
+            out |= {a + part[:i] + part[i + 1 :] for a, part in (("<", w[:h]), (">", w[-h:])) for i in range(h)}
+    return out
+
+
 def close_pairs(few: DataFrame, many: DataFrame, text: str, same: list[str], most: int = 2, more: bool = True) -> DataFrame:
     """Pairs of different texts within `most` edits that agree in the columns `same`: those, {text}, n, other, other_n and edits.
 

@@ -8,7 +8,7 @@ from collections.abc import Container
 from dataclasses import dataclass, field
 
 from kinweave.functions.nicknames import formal_names
-from kinweave.llm.edits import deletions, within
+from kinweave.llm.edits import close_keys, deletions, within
 
 #: Titles, suffixes and entries that stand for nothing.
 TITLES = frozenset("mr mrs ms miss dr prof rev sir dame mx".split())
@@ -94,14 +94,24 @@ def person(given: list[str | None], surname: list[str | None], year: object, mon
     return Person(tuple(g), tuple(s), None if y is None else y % 100, num(month, 1, 12), num(day, 1, 31), tuple(tokens(fold(nick))))
 
 
+def most_edits(n: int) -> int:
+    """Edits between variants of a word of n letters: one up to 5 letters, two up to 9, then three."""
+    return 0 if n <= 2 else 1 if n <= 5 else 2 if n <= 9 else 3
+
+
 def word_edits(a: str, b: str) -> int:
-    """Edits between words, 9 if more than their length allows: one up to 5 letters, two up to 9, then three."""
+    """Edits between words, 9 if more than the length of the shorter allows."""
     n = min(len(a), len(b))
-    most = 1 if n <= 5 else 2 if n <= 9 else 3
+    most = most_edits(n)
     d = within(a, b, most)
     return d if d <= most and n > 2 else 0 if a == b else 9
 
 
+def surname_keys(p: Person) -> set[str]:
+    """Keys of which any two persons share one whose surnames can be variants, see surname_score()."""
+    return {k for w in {*(x for x in p.surname if len(x) > 2), "".join(p.surname)} for k in close_keys(w, most_edits)}
+
+
 def given_score(a: Person, b: Person, known: frozenset[str] = frozenset()) -> float:
     """Log likelihood that the given names are one name's variants: equal, nickname, typo, initial, missing or another name."""
     if not a.given or not b.given:

@@ -99,6 +99,40 @@ def test_variants(table):
     assert pairs(variants.same_entity(df.limit(0))) == []
 
 
+def edited(rng, w, times):
+    for _ in range(times):
+        i, c = int(rng.integers(len(w) + 1)), "abcd"[rng.integers(4)]
+        w = (w[:i] + c + w[i:], w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :])[rng.integers(4)]
+    return w
+
+
+def test_close_strings_share_a_key():
+    rng = np.random.default_rng(6)
+    near = 0
+    for _ in range(6_000):
+        a = "".join(rng.choice(list("abcd"), rng.integers(1, 17)))
+        b = edited(rng, a, rng.integers(1, 4))
+        if people.word_edits(a, b) < 9:
+            near += 1
+            assert edits.close_keys(a, people.most_edits) & edits.close_keys(b, people.most_edits), (a, b)
+        if b and edits.within(a, b, 2) <= 2:
+            assert edits.close_keys(a) & edits.close_keys(b), (a, b)
+    assert near > 1_000 and len(edits.close_keys("ab" * 9_000)) < 60
+
+
+def test_variants_meet_whatever_the_length_of_the_surname(table):
+    cases = [
+        ("Robert", "duribey", (1950, 4, 17), "Robert", "duribley", (1950, 4, 18)),  # a letter more, and a slip in one part of the date
+        ("Robert", "duroard", (1951, 5, 11), "Robert", "duuroard", (1951, 6, 11)),
+        ("Robert", "voravzi", (1952, 6, 21), "Robert", "voravzzi", (1953, 6, 21)),
+        ("Robert", "stenngardo", (1953, 7, 3), "Bob", "setnngarod", (1953, 7, 4)),  # two swaps and another initial
+        ("Robert", "li", (1954, 8, 5), "Bob", "li", (1954, 8, 6)),
+    ]
+    rows = [(f"{i}{side}{k}", g, s, None, *d, 0) for i, c in enumerate(cases) for side, (g, s, d), n in (("a", c[:3], 2), ("b", c[3:], 1)) for k in range(n)]
+    got = pairs(variants.same_entity(table(rows, N)))
+    assert got == sorted((x, y) for i in range(len(cases)) for x, y in ((f"{i}a0", f"{i}a1"), (f"{i}a0", f"{i}b0"), (f"{i}a1", f"{i}b0")))
+
+
 def test_person_parts():
     p = people.person(["Dr. Jackie"], ["Hux0ckner-Lund, Jr."], 31, 4, 14)
     assert (p.given, p.surname, p.year, p.month, p.day) == (("jackie",), ("huxockner", "lund"), 31, 4, 14)

@@ -194,6 +194,16 @@ def test_hash_tables_find_nearly_all_close_pairs(table):
     assert len(set(pairs(m)) & held) >= 0.9 * 150
 
 
+def test_close_surnames_meet_in_two_parts_of_the_date_at_any_size(table):
+    rng = np.random.default_rng(10)
+    ps = persons(200, 6)
+    left = [(i, None, g, None, s, None, y, m, d, "x") for i, (g, s, y, m, d) in enumerate(ps)]
+    swap = lambda s: s[0] + s[2] + s[1] + s[3:-2] + "aeiou"[rng.integers(5)] + s[-1]
+    right = [(1000 + i, None, "Zoe", None, swap(s), None, y, m, d % 28 + 1, "x") for i, (g, s, y, m, d) in enumerate(ps)]
+    near = {(i, 1000 + i) for i, (p, r) in enumerate(zip(ps, right, strict=True)) if people.word_edits(p[1], r[4]) < 9}
+    assert len(near) > 150 and near <= set(pairs(matching.matches(table(left, R), table(right, R), label=None)))
+
+
 def test_skip_gram_puts_companions_together():
     rng = np.random.default_rng(2)
     records = [[0, 1, 2] if k else [10, 11, 12] for k in rng.integers(0, 2, 400)]

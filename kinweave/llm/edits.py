@@ -69,18 +69,18 @@ def close_keys(w: str, most: Callable[[int], int] = lambda n: 2, longest: int =
 def close_pairs(few: DataFrame, many: DataFrame, text: str, same: list[str], most: int = 2, more: bool = True) -> DataFrame:
     """Pairs of different texts within `most` edits that agree in the columns `same`: those, {text}, n, other, other_n and edits.
 
-    Texts meet under a common deletion of one character (which finds all that are one edit apart), or the same first character with either the
-    same four at the beginning or the same five at the end of the last word; what meets is measured. With `more`, only others with at least as large an n are looked at. Both tables
+    Texts meet under the keys of close_keys(), which finds all; what meets is measured. With `more`, only others with at least as large an n are looked at. Both tables
     have the column n and a row for each text.
     """
 
+    @F.pandas_udf("array<string>")
+    def close(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(close_keys(t, lambda n: most)))
+
     def keys(df: DataFrame, n: str) -> DataFrame:
-        t = F.col(text)
-        cut = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-        last = F.element_at(F.split(t, " "), -1)
-        ends = F.array(F.concat(F.lit("<"), F.substring(t, 1, 1), F.substring(last, 1, 4)), F.concat(F.lit(">"), F.substring(t, 1, 1), F.substring(t, -5, 5)))
-        every = F.transform(F.array_distinct(F.concat(F.array(t), cut, ends)), lambda k: F.xxhash64(k, *[F.col(c) for c in same]))
-        return df.where(F.length(text) > 0).select(*same, t.alias(n), F.col("n").alias(f"{n}_n"), F.explode(every).alias("key"))
+        every = F.transform("close", lambda k: F.xxhash64(k, *[F.col(c) for c in same]))
+        df = df.where(F.length(text) > 0).withColumn("close", close(text))
+        return df.select(*same, F.col(text).alias(n), F.col("n").alias(f"{n}_n"), F.explode(every).alias("key"))
 
     met = keys(few, "a").join(keys(many, "other"), ["key", *same]).where(F.col("a") != F.col("other"))
     if more:

@@ -120,6 +120,13 @@ def test_close_strings_share_a_key():
     assert near > 1_000 and len(edits.close_keys("ab" * 9_000)) < 60
 
 
+def test_close_pairs_finds_all_within_two_edits(table):
+    words = [("staenogstet", "stanogsett"), ("ulirnton", "ulimton"), ("zaneport", "aznepotr"), ("kelm ridge", "klem rigde"), ("abcd", "badc"), ("xy", "zv")]
+    few = [("t", b, 1) for _, b in words] + [("u", words[0][1], 1)]
+    got = edits.close_pairs(table(few, "town string, name string, n long"), table([("t", a, 5) for a, _ in words], "town string, name string, n long"), "name", ["town"])
+    assert {(r["other"], r["name"]) for r in got.collect()} == set(words)
+
+
 def test_variants_meet_whatever_the_length_of_the_surname(table):
     cases = [
         ("Robert", "duribey", (1950, 4, 17), "Robert", "duribley", (1950, 4, 18)),  # a letter more, and a slip in one part of the date

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Container
+from collections.abc import Callable, Container, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+
 from kinweave.functions.nicknames import formal_names
 from kinweave.llm.edits import close_keys, deletions, within
 
@@ -112,7 +117,7 @@ def surname_keys(p: Person) -> set[str]:
     return {k for w in {*(x for x in p.surname if len(x) > 2), "".join(p.surname)} for k in close_keys(w, most_edits)}
 
 
-def given_score(a: Person, b: Person, known: frozenset[str] = frozenset()) -> float:
+def given_score(a: Person, b: Person, known: Container[str] = frozenset()) -> float:
     """Log likelihood that the given names are one name's variants: equal, nickname, typo, initial, missing or another name."""
     if not a.given or not b.given:
         if a.given or b.given:
@@ -190,7 +195,7 @@ def date_score(a: Person, b: Person) -> float:
     return out + part(a.month, b.month, 2.2, -1.5, -2.7) + part(a.day, b.day, 3.0, -1.5, -2.7)
 
 
-def likelihood(a: Person, b: Person, known: frozenset[str] = frozenset()) -> float:
+def likelihood(a: Person, b: Person, known: Container[str] = frozenset()) -> float:
     """Sum of the scores of surname, given name and date; -inf if the surnames can't be one."""
     s = surname_score(a, b)
     if s is None:
@@ -198,25 +203,57 @@ def likelihood(a: Person, b: Person, known: frozenset[str] = frozenset()) -> flo
     return s + given_score(a, b, known) + date_score(a, b)
 
 
+class Words:
+    """A set of words as a bitmap of a fixed size, whatever their number; each word sets three bits. Up to 100,000 words, one in 100,000 others is taken for one of them."""
+
+    BITS = 2**24
+
+    def __init__(self, bitmap: bytes | None = None):
+        self.bitmap = bitmap or bytes(self.BITS // 8)
+
+    @classmethod
+    def at(cls, w: str) -> list[int]:
+        h = xxhash.xxh3_64_intdigest(w)
+        return [(h >> s) % cls.BITS for s in (0, 20, 40)]
+
+    def __contains__(self, w: str) -> bool:
+        return all(self.bitmap[k >> 3] >> (k & 7) & 1 for k in self.at(w))
+
+    @classmethod
+    def of(cls, words: DataFrame, word: str, more: Callable[[str], Iterable[str]] = lambda w: ()) -> Words:
+        """The words of a column, and what `more` gives for each of them. Tasks send bitmaps, no words."""
+
+        def mark(batches):
+            bits = np.zeros(cls.BITS, bool)
+            for pdf in batches:
+                bits[[k for w in pdf[word].dropna() for x in (w, *more(w)) for k in cls.at(x)]] = True
+            yield pd.DataFrame({"bitmap": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        parts = words.select(word).coalesce(8).mapInPandas(mark, "bitmap binary").collect()
+        return cls(np.bitwise_or.reduce([np.frombuffer(r["bitmap"], np.uint8) for r in parts]).tobytes() if parts else None)
+
+
+def _near(w: str) -> list[str]:
+    """What tells a word that another is it with a letter less, or with another letter in its place."""
+    return [f"-{w[:i]}{w[i + 1 :]}" for i in range(len(w))] + [f"{i}.{w[:i]}{w[i + 1 :]}" for i in range(len(w))]
+
+
 class Givens:
-    """Known given names, and the most frequent one within an edit of an unknown name."""
+    """Known given names. A name of five letters or more is also known if it is a known one's typo: a letter more, less or another, or two that changed places."""
+
+    def __init__(self, names: Words):
+        self.names = names
 
-    def __init__(self, counts: dict[str, int]):
-        self.names = frozenset(counts)
-        self.near: dict[str, list[str]] = {}
-        for w in sorted(counts, key=lambda w: (-counts[w], w)):
-            if len(w) >= 5:
-                for k in deletions(w):
-                    self.near.setdefault(k, []).append(w)
+    @classmethod
+    def of(cls, words: DataFrame, word: str) -> Givens:
+        return cls(Words.of(words, word, lambda w: _near(w) if len(w) >= 5 else ()))
 
     def __contains__(self, w: str) -> bool:
-        return self.canonical(w) in self.names
-
-    def canonical(self, w: str) -> str:
-        if w in self.names or w in _FORMAL or len(w) < 5:
-            return w
-        for k in deletions(w):
-            for c in self.near.get(k, ()):
-                if within(w, c, 1) <= 1:
-                    return c
-        return w
+        if w in self.names:
+            return True
+        if len(w) < 5:
+            return False
+        fewer = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        swapped = (w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1))
+        other = (f"{i}.{w[:i]}{w[i + 1 :]}" for i in range(len(w)))
+        return f"-{w}" in self.names or any(x in self.names for xs in (fewer, swapped, other) for x in xs)

@@ -57,7 +57,11 @@ def copies(text: str | Column) -> Column:
 
 
 class Bins:
-    """Open containers ordered by residual capacity; each carries bitmaps of the sources and duplicate clusters in it."""
+    """Open containers ordered by residual capacity; each carries bitmaps of the sources and duplicate clusters in it.
+
+    For every conflict that an item can have, the containers that bear its bit are known by residual, so that a search skips whole residuals
+    whose containers all conflict.
+    """
 
     def __init__(self, capacity: int):
         self.capacity = capacity
@@ -66,17 +70,36 @@ class Bins:
         self.sources: list[int] = []
         self.members: list[list[int]] = []
         self.at: dict[int, dict[int, None]] = {}
+        self.bearing: dict[tuple[str, int], dict[int, int]] = {}  # of a conflict's bit: how many containers of each residual bear it
         self.present = 0  # bit r is set if a container has the residual r
 
+    def _bits(self, b: int) -> list[tuple[str, int]]:
+        out = []
+        for kind, bits in (("c", self.clusters[b]), ("s", self.sources[b])):
+            while bits:
+                low = bits & -bits
+                out.append((kind, low))
+                bits ^= low
+        return out
+
     def _move(self, b: int, old: int | None, new: int) -> None:
         if old is not None:
             del self.at[old][b]
             if not self.at[old]:
                 self.present &= ~(1 << old)
+            for k in self._bits(b):
+                self.bearing[k][old] -= 1
         self.residual[b] = new
         self.at.setdefault(new, {})[b] = None
         self.present |= 1 << new
 
+    def _free(self, r: int, cluster: int, source: int) -> int:
+        """The first container of residual r without the item's bits, -1 if there is none."""
+        n = len(self.at[r])
+        if any(bit and self.bearing.get((kind, bit), {}).get(r, 0) == n for kind, bit in (("c", cluster), ("s", source))):
+            return -1
+        return next((b for b in self.at[r] if not (self.clusters[b] & cluster or self.sources[b] & source)), -1)
+
     def put(self, item: int, size: int, cluster: int = 0, source: int = 0) -> int:
         """Into the tightest container that fits and has none of the item's bits, or a new one; its number. Bits are 0 for no conflict."""
         r = size
@@ -91,25 +114,30 @@ class Bins:
                 self._move(b, None, self.capacity - size)
                 break
             r += (rest & -rest).bit_length() - 1
-            b = next((b for b in self.at[r] if not (self.clusters[b] & cluster or self.sources[b] & source)), -1)
+            b = self._free(r, cluster, source)
             if b >= 0:
                 self._move(b, r, r - size)
                 break
             r += 1
         self.clusters[b] |= cluster
         self.sources[b] |= source
+        for k in self._bits(b):
+            self.bearing.setdefault(k, {})
+            self.bearing[k][self.residual[b]] = self.bearing[k].get(self.residual[b], 0) + 1
         self.members[b].append(item)
         return b
 
 
-def best_fit(sizes: list[int], capacity: int, clusters: list[object] | None = None, sources: list[object] | None = None) -> list[int]:
+def best_fit(sizes: list[int], capacity: int, clusters: list[object] | None = None, sources: list[object] | None = None, per_source: int = 1) -> list[int]:
     """The container number of each item, by decreasing size (best fit). No size exceeds the capacity.
 
     Items of one cluster (None: none) get different containers as far as there are enough: of a cluster with more items than the total size needs
-    containers, every so many share a bit. With `sources`, no two items of a source share a container.
+    containers, every so many share a bit. With `sources`, no two items of a source share a container, unless `per_source` says how many at most may: then items
+    of a source take that many bits in turn.
     """
     need = max(1, -(-sum(sizes) // capacity))
     number = Counter(c for c in clusters or [] if c is not None)
+    share = Counter(sources or [])
     seen: Counter = Counter()
     bit: dict[object, int] = {}
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], -(number[clusters[i]] if clusters else 0), i))
@@ -121,17 +149,19 @@ def best_fit(sizes: list[int], capacity: int, clusters: list[object] | None = No
             seen[clusters[i]] += 1
             c = 1 << bit.setdefault(("c", *key), len(bit))
         if sources is not None:
-            s = 1 << bit.setdefault(("s", sources[i]), len(bit))
+            turn = seen["s", sources[i]] % per_source
+            seen["s", sources[i]] += 1
+            s = 1 << bit.setdefault(("s", sources[i], turn), len(bit)) if share[sources[i]] > 1 else 0
         out[i] = bins.put(i, sizes[i], c, s)
     return out
 
 
-def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str = "size", cluster: str | None = None, source: str | None = None, kind: str = "container_kind", capacity: str = "capacity_tokens", shard: int = SHARD) -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str = "size", cluster: str | None = None, source: str | None = None, kind: str = "container_kind", capacity: str = "capacity_tokens", shard: int = SHARD, per_source: int = 1) -> DataFrame:
     """Columns {kind}, container_id, position, {id}, piece and size: all items packed into containers of each kind.
 
     An item over the capacity is split into pieces of just the capacity and a rest, other items are whole (piece 0). Positions count from 0 in
     each container. `cluster` names a column of duplicate clusters: copies are kept apart (see best_fit()); nulls belong to none. With
-    `source`, no two pieces of a source share a container (a null source is one too). Items of size 0 or null, or
+    `source`, at most `per_source` pieces of a source share a container (a null source is one too). Items of size 0 or null, or
     without an id, and containers of no capacity have no row; ids are unique. Ties of size go by the id's hash order within a task.
 
     Pieces are dealt by a hash to tasks of a bounded number of pieces; containers that a task leaves under-filled are packed again together.
@@ -139,7 +169,7 @@ def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str
     kinds = containers.select(F.col(kind).alias("kind"), F.col(capacity).cast("long").alias("capacity")).where((F.col("capacity") > 0) & F.col("kind").isNotNull()).distinct()
     extra = [F.col(cluster).cast("string").alias("cluster") if cluster else F.lit(None).cast("string").alias("cluster"), F.col(source).cast("string").alias("source") if source else F.lit(None).cast("string").alias("source")]
     sized = items.select(F.col(id).alias("id"), F.col(size).cast("long").alias("whole"), *extra).where(F.col("id").isNotNull() & (F.col("whole") > 0))
-    each = sized.crossJoin(F.broadcast(kinds))  # one row a kind of container
+    each = materialize(sized).crossJoin(F.broadcast(kinds))  # one row a kind of container
     last = F.floor((F.col("whole") - 1) / F.col("capacity")).cast("int")
     each = each.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     each = each.withColumn("size", F.least(F.col("capacity"), F.col("whole") - F.col("piece") * F.col("capacity"))).drop("whole")
@@ -151,7 +181,7 @@ def pack(items: DataFrame, containers: DataFrame, id: str = "doc_id", size: str
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         groups = [None if not isinstance(c, str) else c for c in pdf["cluster"]]
-        at = best_fit(pdf["size"].tolist(), int(pdf["capacity"].iloc[0]), groups, pdf["source"].tolist() if with_source else None)
+        at = best_fit(pdf["size"].tolist(), int(pdf["capacity"].iloc[0]), groups, [None if not isinstance(x, str) else x for x in pdf["source"]] if with_source else None, per_source)
         pdf["container"] = [f"{n}-{b}" for n, b in zip(pdf["name"], at, strict=True)]
         pdf["position"] = pdf.groupby("container").cumcount().astype("int32")
         pdf["filled"] = pdf.groupby("container")["size"].transform("sum")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import addresses, components, leakage, matching, packing, terms, truncation, variants
+from kinweave.runtime import materialize
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -57,18 +58,36 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.same_entity(_t(spark, d, "person_names"))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str, **more) -> DataFrame:
     documents = _t(spark, d, "documents").withColumn("cluster", packing.copies("text"))
-    sizes = packing.token_counts(documents, keep=("cluster",))
-    return packing.pack(sizes, _t(spark, d, "containers"), cluster="cluster")
+    sizes = packing.token_counts(documents, keep=("cluster", "source"))
+    return packing.pack(sizes, _t(spark, d, "containers"), cluster="cluster", **more)
+
+
+#: Texts of one source that may share a container: hardly fewer than a large one holds, so that little space is lost to the source rule.
+PER_SOURCE = 48
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d)
+    return _packed(spark, d, source="source", per_source=PER_SOURCE)
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_rates(_packed(spark, d), _t(spark, d, "containers"))
+    return packing.fill_rates(_packed(spark, d, source="source", per_source=PER_SOURCE), _t(spark, d, "containers"))
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document with a text, how its pieces lie in the containers of each kind: their number, tokens and longest piece, and whether any container is too full."""
+    from pyspark.sql import functions as F
+
+    packed = materialize(_packed(spark, d, source="source", per_source=PER_SOURCE))
+    caps = _t(spark, d, "containers").select("container_kind", "capacity_tokens").distinct()
+    used = packed.groupBy("container_kind", "container_id").agg(F.sum("size").alias("used"), F.count("*").alias("n"), F.countDistinct("position").alias("places"), F.max("position").alias("last"))
+    sound = used.select("container_kind", "container_id", "used", ((F.col("places") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("in_order"))
+    each = packed.join(sound, ["container_kind", "container_id"]).join(F.broadcast(caps), "container_kind")
+    whole = each.groupBy("container_kind", "doc_id").agg(F.count("*").alias("n_pieces"), F.sum("size").alias("tokens"), F.bool_and((F.col("used") <= F.col("capacity_tokens")) & F.col("in_order")).alias("fits"), F.max("capacity_tokens").alias("capacity"))
+    split = F.col("n_pieces") == F.ceil(F.col("tokens") / F.col("capacity"))
+    return whole.select("container_kind", "doc_id", (F.col("fits") & split).alias("sound"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +102,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_t(spark, d, "documents"), also="title")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p3_found, p3_matches, p7_found, p8_pack, p8_fill, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p6_found, p2_found, p3_found, p3_matches, p7_found, p8_pack, p8_fill, p8_pieces, p9_found, p10_found, p10_rates)}
 
 _POSTS = """
 WITH recs AS (SELECT record_id, any_value(terms) AS terms FROM record_terms WHERE terms IS NOT NULL AND record_id IS NOT NULL GROUP BY record_id),
@@ -106,6 +125,7 @@ FROM posts JOIN counts USING (term) JOIN lengths USING (record_id), total, sums"
     "p5_found": _POSTS
     + "SELECT term, CASE WHEN n_records <= 2 THEN 'rare' ELSE 'common' END AS mark FROM counts, total WHERE n_records <= 2 OR n_records > 0.05 * n_all",
     "p5_frequencies": _POSTS + "SELECT term, occurrences, n_records, round(n_records / n_all, 9) AS frequency FROM counts, total",
+    "p8_pieces": "SELECT container_kind, doc_id, true AS sound FROM documents, (SELECT DISTINCT container_kind FROM containers WHERE capacity_tokens > 0) WHERE doc_id IS NOT NULL AND length(text) > 0",
     "p6_found": """
 WITH RECURSIVE edges AS (SELECT DISTINCT a, b FROM (SELECT record_id_l AS a, record_id_r AS b FROM links_table UNION ALL SELECT record_id_r, record_id_l FROM links_table) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 nodes AS (SELECT DISTINCT id FROM (SELECT record_id_l AS id FROM links_table UNION ALL SELECT record_id_r FROM links_table) WHERE id IS NOT NULL),

@@ -39,14 +39,29 @@ def test_leaks(table):
     assert leaks(table, texts) == sorted([(1, i) for i in range(9)] + [(2, 7)])
 
 
-def test_leaks_of_empty_tables_and_more_passes(table, monkeypatch):
+def test_leaks_of_empty_tables_and_a_crowded_filter(table, monkeypatch):
     docs = table([(1, PASSAGE), (1, PASSAGE), (2, OTHER), (None, PASSAGE)], "doc_id long, text string")
     items = table(ITEMS, "item_id long, text string")
     assert leakage.leaked(docs.limit(0), items).count() == leakage.leaked(docs, items.limit(0)).count() == 0
-    monkeypatch.setattr(leakage, "SEEDS", 10)  # each item takes a pass of its own
+    monkeypatch.setattr(leakage, "MOST", 2**20)
+    monkeypatch.setattr(leakage, "FILTER", 0)
     assert sorted((r["item_id"], r["doc_id"]) for r in leakage.leaked(docs, items).collect()) == [(1, 1), (2, 2)]
 
 
+def test_short_passages_must_occur_whole(table):
+    items = table([(1, "Ostrel granary held four"), (2, "mug is"), (3, "quite another thing here")], "item_id long, text string")
+    docs = table([(1, "so ostrel GRANARY held, four!"), (2, "ostrel granary held five"), (3, "the mug is quite"), (4, "granary held")], "doc_id long, text string")
+    assert [(r["item_id"], r["doc_id"]) for r in leakage.leaked(docs, items).collect()] == [(1, 1)]
+
+
+def test_leaks_do_not_depend_on_other_items(table):
+    rng = random.Random(3)
+    more = [(100 + i, " ".join(f"w{rng.randrange(4000)}" for _ in range(40))) for i in range(3_000)]
+    docs = table([(1, f"Nice mug. {PASSAGE}"), (2, more[5][1]), (3, "nothing of that")], "doc_id long, text string")
+    got = leakage.leaked(docs, table(ITEMS + more, "item_id long, text string")).collect()
+    assert sorted((r["item_id"], r["doc_id"]) for r in got) == [(1, 1), (105, 2)]
+
+
 def test_seeds_ignore_masked_positions():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -154,3 +169,22 @@ def test_token_counts(table):
     assert got[1] == 2 and got[2] == got[3] == 0 and None not in got and got[4] > 1 and got[5] >= 20_000
     keys = [r[0] for r in table([("A b c, d e!",), ("a B c d  e",), ("ok",), (None,)], "t string").select(packing.copies("t")).collect()]
     assert keys[0] == keys[1] and keys[2:] == [None, None]
+
+
+def test_no_more_of_a_source_than_allowed_share_a_container(table):
+    items = table([(i, 2, None, f"s{i % 4}" if i % 9 else None) for i in range(200)], "doc_id long, size long, cluster string, source string")
+    got = packing.pack(items, table(KINDS, "container_kind string, capacity_tokens long"), source="source", per_source=3).collect()
+    by = {}
+    for r in got:
+        source = f"s{r['doc_id'] % 4}" if r["doc_id"] % 9 else None
+        by.setdefault((r["container_kind"], r["container_id"]), []).append(source)
+    assert len(got) == 400 and max(v.count(s) for v in by.values() for s in set(v)) == 3
+    assert len([k for k in by if k[0] == "small"]) <= 44 and len([k for k in by if k[0] == "large"]) <= 24
+
+
+def test_many_copies_are_packed_in_reasonable_time():
+    import time
+
+    begun = time.time()
+    at = packing.best_fit([10] * 12_000, 1_000, ["c"] * 12_000)
+    assert max(at) + 1 == 120 and time.time() - begun < 20

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.resolve import is_binary, is_unary, resolve, unique_name
 from kinweave.plans.joins import check_join_algorithm
+from kinweave.runtime import numbered
 
 HOW = ("inner", "left", "right", "outer", "semi", "anti", "asof", "any_inner", "any_left", "cross", "positional")
 
@@ -204,9 +205,5 @@ def positional(left: DataFrame, right: DataFrame, order: str | list[str], rname:
     order = [order] if isinstance(order, str) else list(order)
     names = [rname.format(name=c) if c in left.columns else c for c in right.columns]
 
-    def numbered(df: DataFrame, kept: list[str]) -> DataFrame:
-        rows = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-        schema = "__n long, " + ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(kept, df.schema, strict=True))
-        return df.sparkSession.createDataFrame(rows, schema)
-
-    return numbered(left, left.columns).join(numbered(right, names), "__n").drop("__n")
+    a, b = numbered(left, order, "__n"), numbered(right, order, "__n")
+    return a.join(b.select(*[F.col(c).alias(n) for c, n in zip(right.columns, names, strict=True)], "__n"), "__n").drop("__n")

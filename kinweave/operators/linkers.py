@@ -105,8 +105,8 @@ class KeyLinker:
         b = self._keyed(right, 1, False).groupBy(*self.names).agg(F.count("*").alias("n_r"))
         return a.join(b, self.names)
 
-    def pair_counts(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """The keys and n, the number of pairs they give, without joining records; most pairs first."""
+    def pair_counts(self, left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
+        """The keys and n, the number of pairs they give, without joining records; most pairs first, or unordered, which saves a shuffle."""
         task = infer_task(left, right, self.task)
         if task == "dedupe" and all(p[0] is p[1] or p[0] == p[1] for p in pairs(self.keys) if isinstance(p[0], str)):
             counts = self._keyed(left, 0, False).groupBy(*self.names).agg(F.count("*").alias("n_l"))
@@ -117,7 +117,7 @@ class KeyLinker:
         out = counts.select(*self.names, n.cast("long").alias("n"))
         if self.max_pairs is not None:
             out = out.where(F.col("n") <= self.max_pairs)
-        return out.orderBy(F.desc("n"), *self.names)
+        return out.orderBy(F.desc("n"), *self.names) if ordered else out
 
     def too_common(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """The keys of which left times right records are over max_pairs."""

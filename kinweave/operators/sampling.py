@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.model import warn_many
+from kinweave.runtime import numbered
 
 
 def sample_table(df: DataFrame, n: int, method: str | None = None, seed: int = 0) -> DataFrame:
     """About n rows ("row", "block") or just n of them in the order of a hash of all columns ("hash"), which doesn't depend on partitions.
 
-    By default "row" up to 16,384 rows, else "block"; both draw each row with the same chance.
+    By default "row" up to 16,384 rows, else "block". "row" draws each row by itself; "block" takes whole partitions of the table as read, in the order of a hash
+    of their numbers, until they hold n rows: few files are read, but neighbours come together.
     """
     method = method or ("row" if n <= 16_384 else "block")
     if method == "hash":
@@ -21,6 +23,15 @@ def sample_table(df: DataFrame, n: int, method: str | None = None, seed: int = 0
         return df.orderBy(F.xxhash64(F.lit(seed), *plain), *plain).limit(n)
     if method not in ("row", "block"):
         raise ValueError(f"method is 'row', 'block' or 'hash', not {method!r}")
+    if method == "block":
+        part = df.withColumn("__part", F.spark_partition_id())
+        sizes = sorted(((r["__part"], r["n"]) for r in part.groupBy("__part").agg(F.count("*").alias("n")).collect()), key=lambda x: hash((seed, x[0])))  # one row a partition
+        kept, held = [], 0
+        for k, size in sizes:
+            if held < n:
+                kept.append(k)
+                held += size
+        return part.where(F.col("__part").isin(kept)).drop("__part")
     total = df.count()
     return df if total <= n else df.sample(fraction=min(1.0, n / total), seed=seed)
 
@@ -45,8 +56,6 @@ def sample_all_links(left: DataFrame, right: DataFrame, max_pairs: int | None =
     drawn = drawn.select(F.expr(f"k div {m}").alias("i"), F.expr(f"pmod(k + k div {m}, {m})").alias("j"))
 
     def ranked(df: DataFrame, name: str, rank: str) -> DataFrame:
-        kind = df.schema["record_id"].dataType.simpleString()
-        rows = df.select("record_id").orderBy(F.xxhash64(F.lit(seed), "record_id"), "record_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-        return spark.createDataFrame(rows, f"{name} {kind}, {rank} long")
+        return numbered(df.select(F.col("record_id").alias(name)), [F.xxhash64(F.lit(seed), name), F.col(name)], rank)
 
     return drawn.join(ranked(left, "record_id_l", "i"), "i").join(ranked(right, "record_id_r", "j"), "j").select("record_id_l", "record_id_r")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import joins
-from kinweave.operators.linkers import CoordinateLinker, EmptyLinker, FullLinker, IDLinker, JoinLinker, KeyLinker, MinhashLshLinker, OrLinker, UnnestLinker, lsh_curves
+from kinweave.operators.linkers import CoordinateLinker, EmptyLinker, FullLinker, IDLinker, JoinLinker, KeyLinker, OrLinker, UnnestLinker, lsh_curves
 from kinweave.operators.model import Datasets, Linkage, Links, filter_links
-from kinweave.operators.sampling import sample_all_links, sample_table
 from kinweave.plans.joins import n_naive_comparisons
 
 
@@ -131,7 +130,7 @@ def semi_customers_with_orders(s, d):
 
 
 def anti_customers_without_orders(s, d):
-    return joins.join(t(s, d, "customer").select("c_custkey"), t(s, d, "orders").select("o_custkey"), lambda a, b: a.c_custkey == b.o_custkey, "anti")
+    return joins.join(t(s, d, "customer").select("c_custkey"), t(s, d, "orders").where("o_totalprice > 300000").select("o_custkey"), lambda a, b: a.c_custkey == b.o_custkey, "anti")
 
 
 def lookup_with_default(s, d):
@@ -141,13 +140,14 @@ def lookup_with_default(s, d):
 
 
 def any_left_join(s, d):
-    o = t(s, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderkey").alias("latest"))
-    return joins.join(t(s, d, "customer").select("c_custkey"), o, lambda a, b: a.c_custkey == b.key, "any_left").select("c_custkey", "latest")
+    o = t(s, d, "orders").where("o_totalprice > 200000").select("o_custkey")
+    return joins.join(t(s, d, "customer").select("c_custkey"), o, lambda a, b: a.c_custkey == b.o_custkey, "any_left").select("c_custkey", "o_custkey")
 
 
 def positional_join(s, d):
-    a = t(s, d, "nation").select("n_nationkey", "n_name")
-    return joins.positional(a, a, "n_nationkey", "{name}_b").select("n_nationkey", "n_name_b")
+    a = t(s, d, "supplier").select("s_suppkey", "s_name")
+    b = t(s, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.concat_ws("-", "c_mktsegment", "c_custkey").alias("label"))
+    return joins.positional(a, b, "s_suppkey", "{name}_b").select("s_suppkey", "s_suppkey_b", "label")
 
 
 def _nation_customers(s, d) -> Linkage:
@@ -207,25 +207,7 @@ def lsh_curve_table(s, d):
     return lsh_curves(s).select("band_size", "n_bands", F.round("jaccard", 4).alias("jaccard"), F.round("p", 6).alias("p"))
 
 
-def minhash_links(s, d):
-    # copies are one text: pairs are those of different texts, each under its least id
-    texts = t(s, d, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("record_id"))
-    words = texts.select("record_id", F.split("text", " ").alias("words")).where(F.size("words") >= 5)
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5))))
-    docs = words.select("record_id", shingles.alias("shingles"))
-    return MinhashLshLinker("shingles", band_size=4, n_bands=8)(docs, docs).links
-
-
-def sample_pairs(s, d):
-    c = customers(s, d)
-    return sample_all_links(c, c, 10_000, seed=3)
-
-
-def sample_hash(s, d):
-    return sample_table(t(s, d, "customer"), 100, "hash", seed=1).select("c_custkey")
-
-
-QUERIES = {f.__name__: f for f in (key_links, key_counts, pair_counts_dedupe, pair_counts_link, key_links_max_pairs, key_links_two_names, full_links, empty_links, join_links, or_links, or_rule_counts, unnest_links, id_match_links, id_indefinite_links, range_join_balance, asof_previous_order, semi_customers_with_orders, anti_customers_without_orders, lookup_with_default, any_left_join, positional_join, with_n_links, link_counts, link_counts_both_sides, linked_values, links_with_both, filter_links_window, datasets_unioned, coordinate_links, naive_comparisons, lsh_curve_table, minhash_links, sample_pairs, sample_hash)}
+QUERIES = {f.__name__: f for f in (key_links, key_counts, pair_counts_dedupe, pair_counts_link, key_links_max_pairs, key_links_two_names, full_links, empty_links, join_links, or_links, or_rule_counts, unnest_links, id_match_links, id_indefinite_links, range_join_balance, asof_previous_order, semi_customers_with_orders, anti_customers_without_orders, lookup_with_default, any_left_join, positional_join, with_n_links, link_counts, link_counts_both_sides, linked_values, links_with_both, filter_links_window, datasets_unioned, coordinate_links, naive_comparisons, lsh_curve_table)}
 
 _RULES = "a.p_brand = b.p_brand AND a.p_size = b.p_size", "a.p_name = b.p_name AND a.p_type = b.p_type"
 _RICH = "rich AS (SELECT CAST(c_nationkey AS BIGINT) AS record_id_l, c_custkey AS record_id_r FROM customer WHERE c_acctbal > 0)"
@@ -253,10 +235,10 @@ y AS (SELECT l, r, string_agg(rule, '+' ORDER BY rule) AS rules FROM x GROUP BY
 p AS (SELECT *, lag(k) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS previous FROM days)
 SELECT o_orderkey, previous FROM orders JOIN p USING (o_custkey, o_orderdate)""",
     "semi_customers_with_orders": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "anti_customers_without_orders": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "anti_customers_without_orders": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "lookup_with_default": "SELECT c_custkey, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer",
-    "any_left_join": "SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS latest FROM customer",
-    "positional_join": "SELECT n_nationkey, n_name AS n_name_b FROM nation",
+    "any_left_join": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) THEN c_custkey END AS o_custkey FROM customer",
+    "positional_join": "WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier), b AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) SELECT s_suppkey, c_custkey AS s_suppkey_b, c_mktsegment || '-' || c_custkey AS label FROM a JOIN b USING (n)",
     "with_n_links": f"WITH {_RICH} SELECT CAST(n_nationkey AS BIGINT) AS record_id, n_name, (SELECT count(*) FROM rich WHERE record_id_l = n_nationkey) AS n_links FROM nation",
     "link_counts": "SELECT CAST(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_links, count(*) AS n_records FROM customer GROUP BY 1",
     "link_counts_both_sides": f"""WITH {_RICH}, l AS (SELECT (SELECT count(*) FROM rich WHERE record_id_l = n_nationkey) AS n_links FROM nation),

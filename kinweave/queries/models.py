@@ -65,7 +65,7 @@ def label_weights(s, d):
     r = once(t(s, d, "rldata_left").withColumn("label_true", F.col("label_true")), "record_id", "label_true", "fname_c1", "lname_c1", "by_year")
     name = EnumComparer("surname", Agree, [("same", lambda p: p.lname_c1_l == p.lname_c1_r), ("near", lambda p: F.levenshtein("lname_c1_l", "lname_c1_r") <= 2), ("other", True)])
     year = EnumComparer("year", Agree, [("same", lambda p: p.by_year_l == p.by_year_r), ("near", lambda p: F.abs(p.by_year_l - p.by_year_r) <= 1), ("other", True)])
-    return train_using_labels([name, year], r, r, max_pairs=20_000).table(s)
+    return train_using_labels([name, year], r, r).table(s)
 
 
 def _part_links(s, d):
@@ -79,8 +79,8 @@ def component_labels(s, d):
 
 def component_records(s, d):
     c = cluster.connected_components(_part_links(s, d), parts(s, d).select("record_id"))
-    sizes = c.groupBy("component").agg(F.count("*").alias("size"))
-    return c.join(sizes, "component").select("record_id", "size")
+    sizes = c.groupBy("component").agg(F.count("*").alias("size"), F.min("record_id").alias("least"))
+    return c.join(sizes, "component").select("record_id", F.col("least").alias("component"), "size")
 
 
 def degrees(s, d):
@@ -226,7 +226,7 @@ SQL = {
 SELECT record_id_l, record_id_r, round(a * b, 6) AS odds, round(a * b / (1 + a * b), 9) AS probability, round(log10(a * b), 6) AS log_odds, round(a, 6) AS name_level_odds FROM x""",
     "probability_odds": "SELECT DISTINCT l_discount AS p, round(l_discount / (1 - l_discount), 9) AS odds FROM lineitem",
     "component_labels": "WITH g AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS component, count(*) OVER (PARTITION BY p_name, p_brand) AS k FROM part) SELECT p_partkey AS record_id, component FROM g WHERE k > 1",
-    "component_records": "SELECT p_partkey AS record_id, count(*) OVER (PARTITION BY p_name, p_brand) AS size FROM part",
+    "component_records": "SELECT p_partkey AS record_id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS component, count(*) OVER (PARTITION BY p_name, p_brand) AS size FROM part",
     "degrees": "SELECT p_partkey AS record_id, count(*) OVER (PARTITION BY p_name, p_brand) - 1 AS degree FROM part",
     "degree_counts": "WITH g AS (SELECT count(*) OVER (PARTITION BY p_name, p_brand) - 1 AS degree FROM part) SELECT degree, count(*) AS n_records FROM g GROUP BY 1",
     "clustering_scores": f"""WITH {_C} SELECT round((al + 2 * tp - a - b) / al, 9) AS rand, round((tp - a * b / al) / ((a + b) / 2 - a * b / al), 9) AS adjusted_rand, round(tp / sqrt(a * b), 9) AS fowlkes_mallows,

@@ -106,7 +106,8 @@ def array_stats(s, d):
 
 def array_combinations_n(s, d):
     q = _quantities(s, d)
-    return q.select("l_orderkey", F.size(arrays.array_combinations(F.col("q"), F.col("q"))).cast("long").alias("n"))
+    pairs = F.transform(arrays.array_combinations(F.col("q"), F.col("q")), lambda x: F.concat_ws(":", F.coalesce(x["l"].cast("int").cast("string"), F.lit("-")), F.coalesce(x["r"].cast("int").cast("string"), F.lit("-"))))
+    return q.select("l_orderkey", F.size(pairs).cast("long").alias("n"), F.array_join(F.array_sort(pairs), " ").alias("pairs"))
 
 
 def array_sorted(s, d):
@@ -172,9 +173,9 @@ def cosines(s, d):
 
 
 def struct_fields(s, d):
-    n = t(s, d, "person_names").groupBy("record_id").agg(F.max("name").alias("name"))
-    x = F.col("name")
-    return n.select("record_id", structs.isnull(x, ["given", "surname"], "any").alias("any_null"), structs.isnull(x, ["given", "surname"], "all").alias("all_null"), structs.equal(x, x, ["given", "surname"]).alias("equal"), structs.rename(structs.select(x, "given"), ["given"], first="given")["first"].alias("first"))
+    n = t(s, d, "person_names").groupBy("record_id").agg(F.max(F.struct("name", "fname_c1", "lname_c1")).alias("n")).select("record_id", "n.*")
+    x, y = F.col("name"), F.struct(F.col("fname_c1").alias("given"), F.col("lname_c1").alias("surname"))
+    return n.select("record_id", structs.isnull(x, ["given", "surname"], "any").alias("any_null"), structs.isnull(x, ["given", "surname"], "all").alias("all_null"), structs.equal(x, y, ["given", "surname"]).alias("equal"), structs.rename(structs.select(x, "given"), ["given"], first="given")["first"].alias("first"))
 
 
 def name_forms(s, d):
@@ -239,7 +240,8 @@ SQL = {
     "email_levels": """WITH n AS (SELECT DISTINCT replace(lower(p_name), ' ', '.') AS u FROM part), p AS (SELECT x.u AS x, y.u AS y FROM n x JOIN n y ON left(x.u, 1) = left(y.u, 1))
 SELECT x || '@shop.test' AS a, y || '@shop.test' AS b, CASE WHEN x = y THEN 0 WHEN damerau_levenshtein(x, y) <= 1 THEN 1 ELSE 4 END AS level FROM p""",
     "array_stats": f"WITH {_Q} SELECT l_orderkey, list_min(q) AS least, list_max(q) AS most, round(list_sum(q), 6) AS total, round(list_avg(q), 6) AS mean, round(list_median(q), 6) AS median, list_bool_or(list_transform(q, lambda v: v > 40)) AS any_large, list_bool_and(list_transform(q, lambda v: v > 10)) AS all_large FROM q",
-    "array_combinations_n": f"WITH {_Q} SELECT l_orderkey, CAST(len(q) * len(q) AS BIGINT) AS n FROM q",
+    "array_combinations_n": f"""WITH {_Q}, v AS (SELECT l_orderkey, list_transform(q, lambda x: coalesce(CAST(CAST(x AS INTEGER) AS VARCHAR), '-')) AS q FROM q)
+SELECT l_orderkey, CAST(len(q) * len(q) AS BIGINT) AS n, array_to_string(list_sort(flatten(list_transform(q, lambda x: list_transform(q, lambda y: x || ':' || y)))), ' ') AS pairs FROM v""",
     "array_sorted": f"WITH {_Q}, f AS (SELECT l_orderkey, list_transform(list_filter(q, lambda v: v IS NOT NULL), lambda v: CAST(v AS INTEGER)) AS q FROM q) SELECT l_orderkey, array_to_string(list_reverse_sort(q), ',') AS down, array_to_string(list_sort(q), ',') AS up FROM f",
     "array_isin_other": f"""WITH {_TERMS}, k AS (SELECT DISTINCT term FROM document_counts WHERE term IS NOT NULL), e AS (SELECT record_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM r),
 x AS (SELECT record_id, string_agg(term, '|' ORDER BY pos) AS kept FROM e JOIN k USING (term) GROUP BY 1)
@@ -256,7 +258,7 @@ SELECT record_id, term, round(n / length * ln(n_all / df), 6) AS w FROM c JOIN f
     "norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS l2, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS l1, 1.0::DOUBLE AS unit FROM embeddings",
     "cosines": """WITH p AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS v, list_transform(b.embedding, lambda x: x::DOUBLE) AS w FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_dot_product(v, w), 4) AS dot, round(list_cosine_similarity(v, w), 5) AS cosine, round(list_dot_product(v, w), 4) AS product FROM p""",
-    "struct_fields": "WITH n AS (SELECT record_id, max(name) AS name FROM person_names GROUP BY 1) SELECT record_id, name.given IS NULL OR name.surname IS NULL AS any_null, name.given IS NULL AND name.surname IS NULL AS all_null, name.given = name.given AND name.surname = name.surname AS equal, name.given AS first FROM n",
+    "struct_fields": "WITH n AS (SELECT record_id, any_value(name) AS name, any_value(fname_c1) AS f, any_value(lname_c1) AS l FROM person_names GROUP BY 1) SELECT record_id, name.given IS NULL OR name.surname IS NULL AS any_null, name.given IS NULL AND name.surname IS NULL AS all_null, name.given = f AND name.surname = l AS equal, name.given AS first FROM n",
     "name_forms": f"""WITH n AS (SELECT record_id, max(name) AS name FROM person_names GROUP BY 1)
 SELECT record_id, {_norm('name.given')} AS given, {_norm('name.surname')} AS surname, CASE WHEN name IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_filter(string_split(concat_ws(' ', {', '.join(_norm('name.' + p) for p in names.PARTS)}), ' '), lambda w: w <> ''))), ' ') END AS words FROM n""",
     "distances": "WITH c AS (SELECT c_custkey, c_custkey % 180 - 90.0::DOUBLE AS lat, c_custkey * 7 % 360 - 180.0::DOUBLE AS lon FROM customer) SELECT c_custkey, round(2 * 6371 * asin(sqrt(least(1, pow(sin(radians(0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(0)) * pow(sin(radians(0 - lon) / 2), 2)))), 6) AS km FROM c",

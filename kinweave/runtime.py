@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot if it has at least this share of all rows, so there are at most 1 / HOT_SHARE hot keys and a table of them may be broadcast.
@@ -35,9 +35,11 @@ def session(cores: int | str = "*", partitions: int = 8, app: str = "kinweave")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of this process where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local runs, where that is unset, a temporary one of this process. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="kinweave-"))
             _written.append((spark, _own[0]))
@@ -114,6 +116,17 @@ def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot:
     return direct.unionByName(rest)
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """df with its rows' places from 0 in the order of the columns, in one distributed sort: a row's place in its partition and the sizes of those before."""
+    place, part = F.col("__place"), F.shiftright("__place", 33)
+    stored = materialize(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a partition
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    out = stored.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn(name, F.col("__start") + place.bitwiseAND(F.lit(2**33 - 1))).select(*df.columns, name)
+
+
 def once(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row a key, of deliveries that repeat: the least of the named columns taken together. Rows without a key are left out."""
     kept = F.min(F.struct(*columns)).alias("__kept")

@@ -3,6 +3,7 @@ import warnings
 from enum import IntEnum
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.errors import SlowJoinError, SlowJoinWarning
@@ -17,45 +18,48 @@ from kinweave.plans.joins import check_join_algorithm, n_naive_comparisons
 
 from .conftest import rows
 
-SCHEMA = "record_id long, int long, letter string, array array<string>"
+SCHEMA = "record_id long, size long, code string, tags array<string>"
 
 
 @pytest.fixture
 def t1(table):
-    return table([(0, 1, "a", ["a", "b"]), (1, 2, "b", ["b"]), (2, 3, "c", [])], SCHEMA)
+    return table([(11, 5, "k", ["red", "tan"]), (12, 7, "m", ["tan"]), (13, 9, "q", []), (14, 8, "m", ["sky"])], SCHEMA)
 
 
 @pytest.fixture
 def t2(table):
-    return table([(90, 2, "b", ["b"]), (91, 4, "c", ["c"]), (92, None, "d", ["d"]), (93, 6, None, None)], SCHEMA)
+    return table([(70, 7, "m", ["tan", "ash"]), (71, 1, "q", ["ash"]), (72, None, "z", ["red", "sky"]), (73, 5, None, None), (74, 8, "m", [])], SCHEMA)
+
+
+CODES = [(12, 70), (12, 74), (13, 71), (14, 70), (14, 74)]
 
 
 def test_key_linker(t1, t2, table):
-    assert rows(KeyLinker("letter")(t1, t2).links) == [(1, 90), (2, 91)]
-    assert rows(KeyLinker(["letter", ("int", lambda df: df["int"].cast("double"))])(t1, t2).links) == [(1, 90)]
-    d = table([(0, "a"), (1, "b"), (2, "a"), (3, "b"), (4, None)], "record_id long, letter string")
-    assert rows(KeyLinker("letter")(d, d).links) == [(0, 2), (1, 3)]
-    assert KeyLinker("letter", max_pairs=3)(d, d).links.count() == 0
+    assert rows(KeyLinker("code")(t1, t2).links) == CODES
+    assert rows(KeyLinker(["code", ("size", lambda df: df["size"].cast("double"))])(t1, t2).links) == [(12, 70), (14, 74)]
+    d = table([(3, "u"), (5, "v"), (8, "u"), (9, "u"), (10, None), (12, "v")], "record_id long, code string")
+    assert rows(KeyLinker("code")(d, d).links) == [(3, 8), (3, 9), (5, 12), (8, 9)]
+    assert rows(KeyLinker("code", max_pairs=4)(d, d).links) == [(5, 12)]
 
 
 def test_counts(table):
-    df = table([(1, "a", 1), (2, "b", 1), (3, "b", 1), (4, "c", 3), (5, "b", 2), (6, "c", 3), (7, None, 4), (8, "c", 3)], "record_id long, letter string, num long")
-    k = KeyLinker("letter")
-    assert rows(k.key_counts_left(df)) == [("a", 1), ("b", 3), ("c", 3)]
-    assert rows(k.pair_counts(df, df)) == [("a", 0), ("b", 3), ("c", 3)]
-    assert n_total(k.pair_counts(df, df)) == 6
-    assert rows(KeyLinker("letter", task="link").pair_counts(df, df)) == [("a", 1), ("b", 9), ("c", 9)]
-    assert n_total(KeyLinker(["letter", "num"]).pair_counts(df, df)) == 4
+    df = table([(1, "p", 2), (2, "r", 2), (3, "r", 2), (4, "r", 9), (5, "s", 9), (6, None, 4), (7, "s", 9)], "record_id long, code string, num long")
+    k = KeyLinker("code")
+    assert rows(k.key_counts_left(df)) == [("p", 1), ("r", 3), ("s", 2)]
+    assert rows(k.pair_counts(df, df)) == [("p", 0), ("r", 3), ("s", 1)]
+    assert n_total(k.pair_counts(df, df)) == 4
+    assert rows(KeyLinker("code", task="link").pair_counts(df, df)) == [("p", 1), ("r", 9), ("s", 4)]
+    assert n_total(KeyLinker(["code", "num"]).pair_counts(df, df)) == 2
     assert n_total(KeyLinker([lambda d: F.lit(None).cast("string")]).pair_counts(df, df)) == 0
 
 
 def test_other_linkers(t1, t2):
-    assert rows(UnnestLinker("array")(t1, t2).links) == [(0, 90), (1, 90)]
-    assert FullLinker()(t1, t2).links.count() == 12 and FullLinker()(t1, t1).links.count() == 3
+    assert rows(UnnestLinker("tags")(t1, t2).links) == [(11, 70), (11, 72), (12, 70), (14, 72)]
+    assert FullLinker()(t1, t2).links.count() == 20 and FullLinker()(t1, t1).links.count() == 6
     assert EmptyLinker()(t1, t2).links.count() == 0 and OrLinker({})(t1, t2).links.count() == 0
-    assert rows(OrLinker(["letter", "int"])(t1, t2).links) == [(1, 90), (2, 91)]
-    assert rows(OrLinker({"a": "letter", "b": "int"}).rule_counts(t1, t2)) == [(["a", "b"], 1), (["a"], 1)]
-    assert rows(JoinLinker(lambda a, b: a.letter == b.letter)(t1, t2).links) == [(1, 90), (2, 91)]
+    assert rows(OrLinker(["code", "size"])(t1, t2).links) == sorted([*CODES, (11, 73)])
+    assert rows(OrLinker({"a": "code", "b": "size"}).rule_counts(t1, t2)) == [(["a", "b"], 2), (["a"], 3), (["b"], 1)]
+    assert rows(JoinLinker(lambda a, b: a.code == b.code)(t1, t2).links) == CODES
 
 
 def test_id_linker(table):
@@ -75,11 +79,11 @@ def test_minhash(table):
 
 def test_name_blocker(table):
     schema = "record_id string, name struct<prefix: string, given: string, middle: string, surname: string, suffix: string, nickname: string>"
-    df = table([("a", (None, "Alice", None, "Anderson", None, None)), ("b", (None, "A", None, "ANDERSON", "PhD", None)), ("c", (None, "Bob", None, "Baker", None, None)), ("n", None)], schema)
-    assert rows(NameBlocker()(df, df).links) == [("a", "b")]
+    df = table([("w1", (None, "Greta", None, "Lindqvist", None, None)), ("w2", ("Dr", "G", None, "LINDQVIST", None, None)), ("w3", (None, "Otto", None, "Farrow", None, None)), ("w4", None)], schema)
+    assert rows(NameBlocker()(df, df).links) == [("w1", "w2")]
 
 
-@pytest.mark.parametrize("on, slow", [(lambda a, b: a.letter == b.letter, False), (True, True), (lambda a, b: F.levenshtein(a.letter, b.letter) < 2, True), (lambda a, b: (a.letter == b.letter) | (a.int == b.int), True), (lambda a, b: (a.letter == b.letter) & (a.int == b.int), False)])
+@pytest.mark.parametrize("on, slow", [(lambda a, b: a.code == b.code, False), (True, True), (lambda a, b: F.levenshtein(a.code, b.code) < 2, True), (lambda a, b: (a.code == b.code) | (a["size"] == b["size"]), True), (lambda a, b: (a.code == b.code) & (a["size"] == b["size"]), False)])
 def test_slow_joins(t1, t2, on, slow):
     if not slow:
         JoinLinker(on)(t1, t2)
@@ -94,16 +98,16 @@ def test_slow_joins(t1, t2, on, slow):
 
 
 def test_join_forms(t1, t2):
-    assert joins.join(t1, t2, "letter").columns == ["record_id", "int", "letter", "array", "record_id_right", "int_right", "array_right"]
-    assert joins.join(t1, t2, ("int", "int"), "left").count() == 3
-    assert joins.join(t1, t2, lambda a, b: a.letter == b.letter, "anti").columns == t1.columns
-    assert joins.join(t1, t2, [lambda a, b: a.letter == b.letter, "int"]).count() == 1
-    assert joins.join(t1, t2, True, "cross").count() == 12
-    assert joins.join(t1, t2, "letter", "any_left").count() == 3
-    assert joins.join(t1, t1, "letter").count() == 3
+    assert joins.join(t1, t2, "code").columns == ["record_id", "size", "code", "tags", "record_id_right", "size_right", "tags_right"]
+    assert joins.join(t1, t2, ("size", "size"), "left").count() == 4
+    assert joins.join(t1, t2, lambda a, b: a.code == b.code, "anti").columns == t1.columns
+    assert joins.join(t1, t2, [lambda a, b: a.code == b.code, "size"]).count() == 2
+    assert joins.join(t1, t2, True, "cross").count() == 20
+    assert joins.join(t1, t2, "code", "any_left").count() == 4
+    assert joins.join(t1, t1, "code").count() == 6
     with pytest.raises(ValueError):
-        joins.join(t1, t2, "letter", "inner", rname="int", rename_all=True)
-    assert n_naive_comparisons(4) == 6 and n_naive_comparisons(t1, t2) == 12 and check_join_algorithm(t1) is None
+        joins.join(t1, t2, "code", "inner", rname="size", rename_all=True)
+    assert n_naive_comparisons(4) == 6 and n_naive_comparisons(t1, t2) == 20 and check_join_algorithm(t1) is None
 
 
 def test_range_join_and_asof(table):
@@ -130,19 +134,21 @@ def test_lookup(table):
 
 
 def test_linkage(table, spark, tmp_path):
-    left = table([(4,), (5,), (6,)], "record_id long")
-    right = table([(7, "a"), (8, "b"), (9, "c")], "record_id long, extra string")
-    links = table([(4, 7, 1), (4, 8, 2), (5, 9, 3)], "record_id_l long, record_id_r long, extra long")
+    left = table([(40,), (50,), (60,)], "record_id long")
+    right = table([(17, "fig"), (18, "yew"), (19, "elm")], "record_id long, tree string")
+    links = table([(40, 18, 6), (60, 17, 8), (60, 19, 9)], "record_id_l long, record_id_r long, weight long")
     x = Linkage(left, right, links)
-    assert rows(x.left_linked().with_n_links()) == [(4, 2), (5, 1), (6, 0)]
+    assert rows(x.left_linked().with_n_links()) == [(40, 1), (50, 0), (60, 2)]
     assert rows(x.left_linked().link_counts()) == [(0, 1), (1, 1), (2, 1)] and rows(x.right_linked().link_counts()) == [(1, 3)]
-    got = x.left_linked().with_linked_values("extra", x=F.max("record_id"), y=F.col("record_id") + 1).orderBy("record_id").collect()
-    assert [(r["record_id"], r["extra"] and sorted(r["extra"]), r["x"], r["y"] and sorted(r["y"])) for r in got] == [(4, ["a", "b"], 8, [8, 9]), (5, ["c"], 9, [10]), (6, None, None, None)]
+    got = x.left_linked().with_linked_values("tree", x=F.max("record_id"), y=F.col("record_id") + 1).orderBy("record_id").collect()
+    assert [(r["record_id"], r["tree"] and sorted(r["tree"]), r["x"], r["y"] and sorted(r["y"])) for r in got] == [(40, ["yew"], 18, [19]), (50, None, None, None), (60, ["elm", "fig"], 19, [18, 20])]
     assert "linked" in x.left_linked().with_linked_values().columns
-    assert rows(Links(links, left, right).with_right(e="extra").df.select("record_id_r", "e")) == [(7, "a"), (8, "b"), (9, "c")]
+    assert rows(Links(links, left, right).with_right(t="tree").df.select("record_id_r", "t")) == [(17, "fig"), (18, "yew"), (19, "elm")]
+    named = table([(40, 18, "mine")], "record_id_l long, record_id_r long, tree string")
     with pytest.raises(ValueError):
-        Links(links, left, right).with_right("extra")
-    assert filter_links(links, F.max("extra").over(__import__("pyspark").sql.Window.partitionBy("record_id_l")) == F.col("extra")).count() == 2
+        Links(named, left, right).with_right("tree")
+    best = F.max("weight").over(Window.partitionBy("record_id_l")) == F.col("weight")
+    assert filter_links(links, best).count() == 2
     x.write(str(tmp_path / "x"))
     assert rows(Linkage.read(spark, str(tmp_path / "x")).links) == rows(links)
     with pytest.raises(Exception, match="exist"):
@@ -166,30 +172,43 @@ def clusters(df):
     return sorted(map(sorted, groups.values()))
 
 
-@pytest.mark.parametrize("edges, want", [([(0, 10), (1, 10), (1, 11), (2, 11), (2, 12), (9, 20)], [[0, 1, 2, 10, 11, 12], [9, 20]]), ([(0, 10), (0, 11), (0, 12), (0, 13), (9, 20)], [[0, 10, 11, 12, 13], [9, 20]]), ([], []), ([(42, 42)], [[42]]), ([(i, i + 1) for i in range(40)], [list(range(41))])])
+CHAIN = [(k * 37 % 101, (k + 1) * 37 % 101) for k in range(100)]  # one path over 101 nodes in no order
+
+
+@pytest.mark.parametrize(
+    "edges, want",
+    [
+        ([(5, 31), (44, 7), (7, 31), (3, 44), (90, 3), (61, 60)], [[3, 5, 7, 31, 44, 90], [60, 61]]),
+        ([(8, 20), (31, 8), (8, 47), (2, 3), (3, 2)], [[2, 3], [8, 20, 31, 47]]),
+        ([], []),
+        ([(17, 17)], [[17]]),
+        (CHAIN, [list(range(101))]),
+        ([(1, 2), (2, 3), (3, 1), (6, 5), (5, 4), (3, 4)], [[1, 2, 3, 4, 5, 6]]),
+    ],
+)
 def test_components(table, edges, want):
     df = table(edges, "record_id_l long, record_id_r long")
     assert clusters(cluster.connected_components(df)) == want
 
 
 def test_components_of_records(table):
-    s = table([("a", "b"), ("a", "c"), ("x", "y")], "record_id_l string, record_id_r string")
-    assert clusters(cluster.connected_components(s)) == [["a", "b", "c"], ["x", "y"]]
-    st = table([(("a", 0), ("b", 10)), (("a", 9), ("b", 20))], "record_id_l struct<d: string, i: long>, record_id_r struct<d: string, i: long>")
+    s = table([("oak", "elm"), ("yew", "elm"), ("fig", "ash")], "record_id_l string, record_id_r string")
+    assert clusters(cluster.connected_components(s)) == [["ash", "fig"], ["elm", "oak", "yew"]]
+    st = table([(("left", 1), ("right", 1)), (("left", 2), ("right", 3)), (("right", 3), ("left", 4))], "record_id_l struct<d: string, i: long>, record_id_r struct<d: string, i: long>")
     assert len(clusters(cluster.connected_components(st))) == 2
-    e = table([(0, 1), (1, 2)], "record_id_l long, record_id_r long")
-    r = table([(0,), (1,), (2,), (3,)], "record_id long")
-    assert clusters(cluster.connected_components(e, r)) == [[0, 1, 2], [3]]
-    two = cluster.connected_components(e, Datasets([r.where("record_id < 2"), r.where("record_id >= 2")]))
-    assert rows(two["right"]) == [(2, 0), (3, 1)]
-    path = table([(i, i + 1) for i in range(40)], "record_id_l long, record_id_r long")
-    assert len(clusters(cluster.connected_components(path, max_iter=1))) > 1
+    e = table([(21, 25), (25, 22)], "record_id_l long, record_id_r long")
+    r = table([(21,), (22,), (25,), (29,)], "record_id long")
+    assert clusters(cluster.connected_components(e, r)) == [[21, 22, 25], [29]]
+    two = cluster.connected_components(e, Datasets([r.where("record_id < 25"), r.where("record_id >= 25")]))
+    labels = {**dict(map(tuple, two["left"].collect())), **dict(map(tuple, two["right"].collect()))}
+    assert labels[21] == labels[22] == labels[25] != labels[29]
+    assert len(clusters(cluster.connected_components(table(CHAIN, "record_id_l long, record_id_r long"), max_iter=1))) > 1
 
 
 def test_degree(table):
-    e = table([(0, 10), (1, 10), (1, 11), (2, 11), (2, 12), (9, 20), (9, 20)], "record_id_l long, record_id_r long")
-    assert dict(map(tuple, cluster.degree(e).collect())) == {0: 1, 1: 2, 2: 2, 9: 1, 10: 2, 11: 2, 12: 1, 20: 1}
-    assert rows(cluster.degree(e, table([(99,), (1,)], "record_id long"))) == [(1, 2), (99, 0)]
+    e = table([(5, 31), (7, 31), (44, 7), (60, 61), (60, 61)], "record_id_l long, record_id_r long")
+    assert dict(map(tuple, cluster.degree(e).collect())) == {5: 1, 7: 2, 31: 2, 44: 1, 60: 1, 61: 1}
+    assert rows(cluster.degree(e, table([(99,), (7,)], "record_id long"))) == [(7, 2), (99, 0)]
 
 
 def test_cluster_scores(table):
@@ -257,24 +276,24 @@ def test_term_frequencies(table):
 
 
 def test_diff(table, spark, tmp_path):
-    before = table([(1, "Alice", 10), (2, None, 20), (3, "Charlie", 30), (4, "David", 40)], "id long, name string, age long")
-    after = table([(1, "Alice", 10), (2, "Bob", 20), (4, "David", 40), (5, "Eve", 50)], "id long, name string, age long")
+    before = table([(7, "reed", 3), (8, None, 5), (9, "moss", 5), (12, "fern", 1)], "id long, plant string, height long")
+    after = table([(7, "reed", 3), (8, "sedge", 5), (12, "fern", 1), (15, "ivy", 2), (16, None, None)], "id long, plant string, height long")
     d = Diff.from_before_after(before, after, "id")
-    assert rows(d.insertions) == [(5, "Eve", 50)] and rows(d.deletions) == [(3, "Charlie", 30)]
-    assert rows(d.updates.after()) == [(2, "Bob", 20)] and rows(d.unchanged()) == [(1, "Alice", 10), (4, "David", 40)]
-    assert tuple(d.stats().first()) == (4, 4, 1, 1, 1, 2)
+    assert rows(d.insertions) == [(15, "ivy", 2), (16, None, None)] and rows(d.deletions) == [(9, "moss", 5)]
+    assert rows(d.updates.after()) == [(8, "sedge", 5)] and rows(d.unchanged()) == sorted([(7, "reed", 3), (12, "fern", 1)], key=repr)
+    assert tuple(d.stats().first()) == (4, 5, 2, 1, 1, 2)
     d.write(str(tmp_path / "d"))
     assert rows(Diff.read(spark, str(tmp_path / "d")).after) == rows(after)
     whole = Diff.from_before_after(before, after, False)
-    assert whole.insertions.count() == whole.deletions.count() == 4 and whole.updates.df.count() == 0
-    later = table([(1, "Alice", 10), (2, None, 20), (3, "Charlie", 99), (4, None, 99)], "id long, name string, age long")
+    assert whole.insertions.count() == 5 and whole.deletions.count() == 4 and whole.updates.df.count() == 0
+    later = table([(7, "reed", 3), (8, None, 5), (9, "moss", 6), (12, None, 6)], "id long, plant string, height long")
     u = Updates.from_tables(before, later, "id").changed()
-    assert {r["id"]["before"] for r in u.df.collect()} == {3, 4} and rows(u.apply_to(before)) == rows(later)
-    got = table([(None, None), ("a", None), (None, "a"), ("a", "a"), ("a", "b")], "a string, b string").select(value_change(F.col("a"), F.col("b"))).collect()
+    assert {r["id"]["before"] for r in u.df.collect()} == {9, 12} and rows(u.apply_to(before)) == rows(later)
+    got = table([(None, None), ("x", None), (None, "x"), ("x", "x"), ("x", "y")], "a string, b string").select(value_change(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == ["remained_null", "became_null", "became_nonnull", "unchanged", "changed"]
     with pytest.raises(ValueError):
-        Updates.from_tables(before, later.drop("age"), "id")
-    assert Updates.from_tables(before, later.drop("age"), "id", "lax").after().columns == ["id", "name"]
+        Updates.from_tables(before, later.drop("height"), "id")
+    assert Updates.from_tables(before, later.drop("height"), "id", "lax").after().columns == ["id", "plant"]
 
 
 def test_eda(table):

@@ -42,9 +42,19 @@ def test_a_folder_of_its_own_without_the_setting(spark, monkeypatch):
 
     class Session:
         conf = Unset()
-        sparkContext = type("Context", (), {"getConf": lambda self: Unset()})()
+        sparkContext = type("Context", (), {"getConf": lambda self: Unset(), "master": "local[2]"})()
 
     monkeypatch.setattr(runtime, "_written", [])
     monkeypatch.setattr(runtime, "_own", [])
     at = runtime.scratch_dir(Session())
     assert at.startswith("file:///") and runtime.scratch_dir(Session()) == at
+    Session.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.scratch_dir(Session())
+
+
+def test_numbered(spark):
+    df = spark.range(5_000).select((F.col("id") * 37 % 5_000).alias("v")).repartition(7)
+    got = runtime.numbered(df, [F.desc("v")], "n").collect()
+    assert len(got) == 5_000 and all(r["n"] == 4_999 - r["v"] for r in got)
+    assert runtime.numbered(df.limit(0), ["v"], "n").collect() == []

@@ -84,6 +84,29 @@ def test_regions_equal_brute_force(table):
     assert found(points_in_regions(df, regions.limit(0))) == []
 
 
+def test_thin_and_crowded_regions(table):
+    rng = random.Random(9)
+    thin = [(-60.0, -150.0), (60.0, 150.0), (60.001, 150.0), (-59.999, -150.0)]
+    town = [(48.1, 11.4), (48.1, 11.7), (48.3, 11.7), (48.3, 11.4)]
+    along = [(i, -60 + 120 * t, -150 + 300 * t + rng.uniform(-0.002, 0.002)) for i, t in enumerate(rng.random() for _ in range(300))]
+    crowd = [(1000 + i, rng.uniform(48.05, 48.35), rng.uniform(11.35, 11.75)) for i in range(400)] + [(2000 + i, 48.2, 11.5) for i in range(200)]
+    rings = {"thin": thin, "town": town}
+    regions = table([(k, [{"lat": a, "lon": b} for a, b in r], 7) for k, r in rings.items()], "region_id string, ring array<struct<lat: double, lon: double>>, code int")
+    df = table([(*p, "x") for p in along + crowd], "record_id long, lat double, lon double, block string")
+    want = sorted((i, k) for i, *p in along + crowd for k, r in rings.items() if inside(p, r))
+    assert {k for _, k in want} == {"thin", "town"}
+    for split in (40, 10_000):
+        assert found(points_in_regions(df, regions, split=split)) == want
+
+
+def test_cover_holds_a_polygon():
+    from kinweave.operators.spatial import COVER, cover
+
+    ranges = cover([10.0, 10.0, 12.0, 12.0], [20.0, 23.0, 23.0, 20.0])
+    assert 4 < len(ranges) <= COVER and any(w for *_, w in ranges) and all(a <= b for _, a, b, _ in ranges)
+    assert all(x[2] < y[1] for x, y in zip(ranges, ranges[1:], strict=False))
+
+
 def test_coordinate_linker_exact(table):
     a = table([(1, 10.0, 20.0), (2, 10.0005, 20.0)], "record_id long, lat double, lon double")
     assert found(CoordinateLinker(0.1, exact=True)(a, a).links) == [(1, 2)]

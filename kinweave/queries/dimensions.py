@@ -232,8 +232,8 @@ SQL = {
 m AS (SELECT l, r, min(CASE WHEN x.p = z.p THEN 0 WHEN damerau_levenshtein(x.p, z.p) <= 1 THEN 1 ELSE 2 END) AS level FROM p JOIN f x ON x.record_id = l JOIN f z ON z.record_id = r GROUP BY ALL)
 SELECT l AS record_id_l, r AS record_id_r, coalesce(level, 2) AS level FROM p LEFT JOIN m USING (l, r)""",
     "type_spellings": "WITH w AS (SELECT unnest(regexp_split_to_array(upper(street1), '[^A-Za-z]+')) AS w FROM addresses) SELECT CASE WHEN w IN ('STREET', 'ST') THEN 'ST' WHEN w IN ('AVENUE', 'AVE', 'AV') THEN 'AVE' WHEN w IN ('ROAD', 'RD') THEN 'RD' WHEN w IN ('LANE', 'LN') THEN 'LN' WHEN w IN ('DRIVE', 'DR') THEN 'DR' ELSE 'CT' END AS type, count(*) AS n FROM w WHERE w IN ('STREET', 'ST', 'AVENUE', 'AVE', 'AV', 'ROAD', 'RD', 'LANE', 'LN', 'DRIVE', 'DR', 'COURT', 'CT') GROUP BY 1",
-    "sparse_vectors": """WITH e AS (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS w FROM part), c AS (SELECT p_partkey AS k, p_brand AS b, w, (count(*) + length(w))::DOUBLE AS v FROM e GROUP BY ALL),
-n AS (SELECT k, b, sqrt(sum(v * v)) AS n FROM c GROUP BY ALL), s AS (SELECT x.k AS l, y.k AS r, sum(x.v * y.v) AS d, sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v)) AS lengths FROM c x JOIN c y ON x.b = y.b AND x.w = y.w AND x.k < y.k GROUP BY ALL)
+    "sparse_vectors": """WITH e AS (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS w FROM part), c AS (SELECT p_partkey AS k, p_brand AS b, w, (count(*) + length(w))::DOUBLE AS v FROM e GROUP BY p_partkey, p_brand, w),
+n AS (SELECT k, b, sqrt(sum(v * v)) AS n FROM c GROUP BY k, b), s AS (SELECT x.k AS l, y.k AS r, sum(x.v * y.v) AS d, sqrt(sum(x.v * x.v)) * sqrt(sum(y.v * y.v)) AS lengths FROM c x JOIN c y ON x.b = y.b AND x.w = y.w AND x.k < y.k GROUP BY x.k, y.k)
 SELECT x.k AS l, y.k AS r, round(coalesce(d, 0), 6) AS dot, round(d / lengths, 6) AS cosine, round(coalesce(d, 0), 6) AS product, round(x.n, 6) AS norm FROM n x JOIN n y ON x.b = y.b AND x.k < y.k LEFT JOIN s ON s.l = x.k AND s.r = y.k""",
     "compare_and_score": f"WITH {_P} SELECT record_id_l, record_id_r, round(a * b, 6) AS odds FROM o",
     "level_probabilities": f"WITH {_P} SELECT record_id_l, record_id_r, round(a / (1 + a), 9) AS probability, round(log10(a), 6) AS log_odds FROM o",

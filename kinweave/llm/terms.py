@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.runtime import lookup, once
+from kinweave.runtime import lookup, materialize, once
 
 #: Heavy terms are counted in local arrays; there are at most so many, of at most so many bytes.
 HEAVY, HEAVY_BYTES = 1024, 256
@@ -100,7 +100,7 @@ def term_frequencies(df: DataFrame, id: str = "record_id", terms: str = "terms",
     """
     recs = records(df, id, terms)
     total = recs.agg(F.count("*").alias("n_all"))
-    counts = term_counts(postings(recs)).crossJoin(F.broadcast(total))
+    counts = term_counts(materialize(postings(recs))).crossJoin(F.broadcast(total))
     mark = F.when(F.col("n_records") <= rare, "rare").when(F.col("n_records") > F.col("n_all") * common, "common")
     return counts.select("term", "occurrences", "n_records", (F.col("n_records") / F.col("n_all")).alias("frequency"), mark.alias("mark"))
 
@@ -126,8 +126,8 @@ def relevance(df: DataFrame, id: str = "record_id", terms: str = "terms", k1: fl
     if math.isinf(k1) and b:
         raise ValueError("with an infinite k1, b must be 0")
     recs = records(df, id, terms)
-    posts = postings(recs)
-    counts = term_counts(posts).where(F.col("n_records") >= least_records)
+    posts = materialize(postings(recs))  # read for the counts, the sums and both ways to meet the counts
+    counts = materialize(term_counts(posts).where(F.col("n_records") >= least_records))
     sums = posts.agg(F.sum("tf").alias("length_all"), F.count("*").alias("postings_all"))
     total = F.broadcast(recs.agg(F.count("*").alias("n_all")).crossJoin(F.broadcast(sums)))
     hot = counts.crossJoin(total).where(F.col("n_records") * 10_000 > F.col("postings_all")).select("term")

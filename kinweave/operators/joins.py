@@ -16,12 +16,57 @@ from kinweave.runtime import numbered
 HOW = ("inner", "left", "right", "outer", "semi", "anti", "asof", "any_inner", "any_left", "cross", "positional")
 
 
+class Deferred:
+    """An expression over two tables that aren't known yet: `left.a == right["b"]`. Attributes, calls, items and operators are taken down and done when the tables come."""
+
+    def __init__(self, make: Callable[[DataFrame, DataFrame], Any]):
+        self._make = make
+
+    def __getattr__(self, name: str) -> Deferred:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return Deferred(lambda a, b: getattr(self._make(a, b), name))
+
+    def __getitem__(self, key: Any) -> Deferred:
+        return Deferred(lambda a, b: self._make(a, b)[key])
+
+    def __call__(self, *args: Any, **more: Any) -> Deferred:
+        return Deferred(lambda a, b: self._make(a, b)(*[_known(x, a, b) for x in args], **{k: _known(x, a, b) for k, x in more.items()}))
+
+    def resolved(self, a: DataFrame, b: DataFrame) -> Any:
+        return self._make(a, b)
+
+    __hash__ = object.__hash__
+
+
+def _known(x: Any, a: DataFrame, b: DataFrame) -> Any:
+    return x.resolved(a, b) if isinstance(x, Deferred) else x
+
+
+def _operator(name: str) -> Callable[..., Deferred]:
+    return lambda self, *args: Deferred(lambda a, b: getattr(self.resolved(a, b), name)(*[_known(x, a, b) for x in args]))
+
+
+for _name in "add radd sub rsub mul rmul truediv rtruediv mod eq ne lt le gt ge and rand or ror invert neg".split():
+    setattr(Deferred, f"__{_name}__", _operator(f"__{_name}__"))
+
+#: Stand for the tables of a join that is yet to come.
+left, right = Deferred(lambda a, b: a), Deferred(lambda a, b: b)
+
+
+def deferred(f: Callable[..., Column]) -> Callable[..., Deferred]:
+    """A function of columns that takes deferred ones too: deferred(F.levenshtein)(left.x, right.x) < 2."""
+    return lambda *args, **more: Deferred(lambda a, b: f(*[_known(x, a, b) for x in args], **more))
+
+
 def condition(spec: Any, left: DataFrame, right: DataFrame) -> Column | bool:
     """The join condition that spec stands for.
 
-    A bool; a column over both tables; a name of both; a function of one table (applied to both) or of two; a 2-tuple (left key, right
+    A bool; a column over both tables; an expression of the placeholders `left` and `right`; a name of both; a function of one table (applied to both) or of two; a 2-tuple (left key, right
     key); any other iterable: all of its members hold.
     """
+    if isinstance(spec, Deferred):
+        return condition(spec.resolved(left, right), left, right)
     if isinstance(spec, (bool, Column)):
         return spec
     if hasattr(spec, "join_condition"):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -243,9 +244,39 @@ class Datasets(Mapping[str, DataFrame]):
         return self.unioned().select("record_id").distinct()
 
 
+class UnionTable:
+    """Tables with the same columns as one: what is done to it is done to each branch; table() unites them, repeated rows included."""
+
+    def __init__(self, tables: Iterable[DataFrame]):
+        self.tables = list(tables)
+        if not self.tables or any(set(types(t)) != set(types(self.tables[0])) for t in self.tables):
+            raise ValueError("a union needs tables, all with the same columns")
+
+    def _each(self, f: Callable[[DataFrame], DataFrame]) -> UnionTable:
+        return UnionTable(map(f, self.tables))
+
+    def filter(self, f: Callable[[DataFrame], Column]) -> UnionTable:
+        return self._each(lambda t: t.where(f(t)))
+
+    def select(self, *columns: str | Column) -> UnionTable:
+        return self._each(lambda t: t.select(*columns))
+
+    def mutate(self, **columns: Column | Callable[[DataFrame], Column]) -> UnionTable:
+        return self._each(lambda t: t.withColumns({n: c if isinstance(c, Column) else c(t) for n, c in columns.items()}))
+
+    def rename(self, **new: str) -> UnionTable:
+        return self._each(lambda t: t.withColumnsRenamed({old: n for n, old in new.items()}))
+
+    def drop(self, *names: str) -> UnionTable:
+        return self._each(lambda t: t.drop(*names))
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tables)
+
+
 def warn_many(n: int, most: int = 100_000_000) -> None:
     if n > most:
         warnings.warn(f"{n} pairs are many", stacklevel=3)
 
 
-__all__ = ["Datasets", "Linkage", "Linked", "Links", "bind", "check_links", "check_schemas_equal", "filter_links", "n_total", "types", "warn_many"]
+__all__ = ["Datasets", "Linkage", "Linked", "Links", "UnionTable", "bind", "check_links", "check_schemas_equal", "filter_links", "n_total", "types", "warn_many"]

@@ -37,6 +37,12 @@ def resolve(df: DataFrame, spec: Spec) -> Column:
     return F.lit(spec)
 
 
+def ensure_val(value: object, kind: str | None = None) -> Column:
+    """A column as it is, anything else as a literal; cast to `kind` if given."""
+    c = value if isinstance(value, Column) else F.lit(value)
+    return c if kind is None else c.cast(kind)
+
+
 def name_of(spec: Spec, place: int = 0) -> str:
     return spec if isinstance(spec, str) else f"key{place}"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinweave.functions import contacts, vectors
@@ -9,13 +11,13 @@ from kinweave.functions.streets import canonical_type
 from kinweave.operators import cluster, eda, joins
 from kinweave.operators.diff import Updates
 from kinweave.operators.fs import ComparerWeights
-from kinweave.operators.linkers import CoordinateLinker, KeyLinker, MinhashLshLinker, NameBlocker
-from kinweave.operators.model import Links, n_total
+from kinweave.operators.linkers import CoordinateLinker, JoinLinker, KeyLinker, MinhashLshLinker, NameBlocker
+from kinweave.operators.model import Links, UnionTable, n_total
 from kinweave.operators.sampling import sample_all_links, sample_table
 from kinweave.queries.linkage import CUSTOMER, customers, parts, t
 from kinweave.queries.models import NAME, PRICE, WEIGHTS, _pairs
-from kinweave.runtime import materialize, once
-from kinweave.sources.io import links_from_labels
+from kinweave.runtime import materialize, once, scratch_dir
+from kinweave.sources.io import links_from_labels, read_csv
 
 
 def name_blocks(s, d):
@@ -204,7 +206,34 @@ def linked_both_sides(s, d):
     return Links(x, c, c).with_left(segment="c_mktsegment").df.select("record_id_l", "record_id_r", "segment")
 
 
-_ALL = (name_blocks, email_addresses, email_blocks, phone_numbers, phone_matches, type_spellings, sparse_vectors, compare_and_score, level_probabilities, updates_of_structs, label_links, right_join, outer_join, any_inner_join, intersect_keys, key_pairs_total, top_values, chained_components, coordinate_pairs, minhash_links, text_classes, sample_pairs, sample_hash, linked_both_sides)
+def deferred_links(s, d):
+    near = joins.deferred(F.abs)(joins.left.c_acctbal - joins.right.c_acctbal) <= 20
+    c = customers(s, d)
+    return JoinLinker([joins.left.c_nationkey == joins.right["c_nationkey"], near])(c, c).links
+
+
+def union_table(s, d):
+    a = t(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    b = t(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    u = UnionTable([a, b]).filter(lambda x: x.balance > 0).mutate(cents=lambda x: F.round(x.balance * 100).cast("long")).drop("balance").rename(country="nation")
+    return u.select("key", "country", "cents").table()
+
+
+def one_comparison(s, d):
+    x = WEIGHTS.compare_one(_pairs(s, d), PRICE)
+    return x.select("record_id_l", "record_id_r", "price_level", F.round("price_level_odds", 6).alias("odds"))
+
+
+def labels_by_csv(s, d):
+    """A table written as CSV in the layout of a published set of records and read back with its links."""
+    at = f"{scratch_dir(s)}/kinweave-{uuid.uuid4().hex}"
+    r = once(t(s, d, "rldata_left"), "record_id", "label_true", "fname_c1", "fname_c2", "lname_c1", "lname_c2", "by_year", "bm", "bd").where("label_true is not null")
+    r.write.option("header", True).csv(at)
+    back = read_csv(s, at, "record_id long, label_true long, fname_c1 string, fname_c2 string, lname_c1 string, lname_c2 string, by_year long, bm long, bd long")
+    return links_from_labels(back).select("record_id_l", "record_id_r")
+
+
+_ALL = (deferred_links, union_table, one_comparison, labels_by_csv, name_blocks, email_addresses, email_blocks, phone_numbers, phone_matches, type_spellings, sparse_vectors, compare_and_score, level_probabilities, updates_of_structs, label_links, right_join, outer_join, any_inner_join, intersect_keys, key_pairs_total, top_values, chained_components, coordinate_pairs, minhash_links, text_classes, sample_pairs, sample_hash, linked_both_sides)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _P = """p AS (SELECT a.p_partkey AS record_id_l, b.p_partkey AS record_id_r, CASE WHEN a.p_name = b.p_name THEN 0 WHEN left(a.p_name, 3) = left(b.p_name, 3) THEN 1 ELSE 2 END AS nl,
@@ -224,6 +253,10 @@ j AS (SELECT l, r, k / (x.n + y.n - k) AS jaccard FROM c JOIN n x ON x.id = l JO
 _WORD = "trim(regexp_replace(strip_accents(upper(unnest([name.prefix, name.given, name.middle, name.surname, name.suffix, name.nickname]))), '[^A-Z0-9]+', ' ', 'g'))"
 
 SQL = {
+    "deferred_links": "SELECT a.c_custkey AS record_id_l, b.c_custkey AS record_id_r FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND abs(a.c_acctbal - b.c_acctbal) <= 20 AND a.c_custkey < b.c_custkey",
+    "union_table": "SELECT c_custkey AS key, c_nationkey AS country, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer WHERE c_acctbal > 0 UNION ALL SELECT s_suppkey, s_nationkey, CAST(round(s_acctbal * 100) AS BIGINT) FROM supplier WHERE s_acctbal > 0",
+    "one_comparison": f"WITH {_P} SELECT record_id_l, record_id_r, CASE pl WHEN 0 THEN 'same' WHEN 1 THEN 'near' ELSE 'other' END AS price_level, round(b, 6) AS odds FROM o",
+    "labels_by_csv": "WITH r AS (SELECT DISTINCT record_id, label_true FROM rldata_left WHERE label_true IS NOT NULL) SELECT a.record_id AS record_id_l, b.record_id AS record_id_r FROM r a JOIN r b ON a.label_true = b.label_true AND a.record_id < b.record_id",
     "name_blocks": f"WITH n AS (SELECT DISTINCT record_id, name FROM person_names WHERE by_year >= 1990 AND name IS NOT NULL), w AS (SELECT DISTINCT record_id, {_WORD} AS w FROM n) SELECT DISTINCT a.record_id AS record_id_l, b.record_id AS record_id_r FROM w a JOIN w b ON a.w = b.w AND a.w <> '' AND a.record_id < b.record_id",
     "email_addresses": f"WITH {_E} SELECT record_id, e AS full, split_part(e, '@', 1) AS user, split_part(e, '@', 2) AS domain FROM e",
     "email_blocks": f"WITH {_N}, u AS (SELECT record_id, regexp_extract(lower(' ' || regexp_replace(lname_c1, '\\s+', '_', 'g') || '.' || bm || '@Post.example '), '\\S+@\\S+') AS e FROM n), e AS (SELECT record_id, replace(replace(e, '.', ''), '_', '') AS e FROM u WHERE e <> '') SELECT DISTINCT a.record_id AS record_id_l, b.record_id AS record_id_r FROM e a JOIN e b ON a.e = b.e AND a.record_id < b.record_id",

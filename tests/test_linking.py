@@ -12,7 +12,7 @@ from kinweave.operators.compare import EnumComparer
 from kinweave.operators.diff import Diff, Updates, value_change
 from kinweave.operators.fs import LevelWeights, Weights, em, level_proportions, odds_to_prob, prob_to_odds, train_using_labels
 from kinweave.operators.linkers import EmptyLinker, FullLinker, IDLinker, JoinLinker, KeyLinker, MinhashLshLinker, NameBlocker, OrLinker, UnnestLinker, p_blocked
-from kinweave.operators.model import Datasets, Linkage, Links, check_links, filter_links, n_total
+from kinweave.operators.model import Datasets, Linkage, Links, UnionTable, check_links, filter_links, n_total
 from kinweave.operators.sampling import sample_all_links, sample_table
 from kinweave.plans.joins import check_join_algorithm, n_naive_comparisons
 
@@ -110,6 +110,21 @@ def test_join_forms(t1, t2):
     assert n_naive_comparisons(4) == 6 and n_naive_comparisons(t1, t2) == 20 and check_join_algorithm(t1) is None
 
 
+def test_deferred_conditions(t1, t2):
+    left, right = joins.left, joins.right
+    assert rows(JoinLinker(left.code == right.code)(t1, t2).links) == CODES
+    assert rows(JoinLinker([left.code == right["code"], left["size"] - 1 < right["size"]])(t1, t2).links) == [(12, 70), (12, 74), (14, 74)]
+    assert joins.join(t1, t2, (left.code == right.code) & (joins.deferred(F.length)(right.code) == 1)).count() == 5
+    assert rows(JoinLinker(left.code.substr(1, 1) == right.code)(t1, t2).links) == CODES
+
+
+def test_union_table(t1, t2):
+    u = UnionTable([t1, t2]).filter(lambda t: t["size"] > 6).mutate(twice=lambda t: t["size"] * 2).rename(id="record_id").drop("tags", "code")
+    assert u.table().columns == ["id", "size", "twice"] and rows(u.select("id", "twice").table()) == [(12, 14), (13, 18), (14, 16), (70, 14), (74, 16)]
+    with pytest.raises(ValueError):
+        UnionTable([t1, t2.drop("tags")])
+
+
 def test_range_join_and_asof(table):
     v = table([(i, float(i)) for i in range(50)] + [(99, None)], "i int, v double")
     r = table([("a", 3.0, 5.5), ("wide", -1e9, 1e9), ("point", 7.0, 7.0), ("turned", 9.0, 8.0), ("null", None, 1.0)], "name string, lo double, hi double")
@@ -255,6 +270,8 @@ def test_training(table):
 
 def test_sampling(table, spark):
     a, b = spark.range(100).toDF("record_id"), spark.range(70).toDF("record_id")
+    blocks = sample_table(spark.range(1_000, numPartitions=10).toDF("record_id"), 150, "block", seed=4)
+    assert blocks.count() == 200 and blocks.count() == blocks.distinct().count()
     for n in (0, 1, 50, 5_000):
         s = sample_all_links(a, b, n)
         assert s.count() == s.distinct().count() == n

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,16 +49,76 @@ NUMBER = "no|nr|num|number"
 #: Ordinals in words.
 ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
 
-_TYPE = {w: t for t, ws in TYPES.items() for w in ws.split()}
-_DIRECTION = {w: d for d, ws in DIRECTIONS.items() for w in ws.split()}
-_TOWN = {w: t for t, ws in TOWN_WORDS.items() for w in ws.split()}
-_ORDINAL = {w: str(i + 1) for i, w in enumerate(ORDINALS)}
-_BOX = re.compile(r"^(?:p\s*o\s*b(?:ox)?|po\s*box|post\s*office\s*box|postbox|pob|box)\s*#?\s*(?:no\s+|nr\s+)?(\d+)\b\s*")
-_UNIT = re.compile(rf"(?:^|\s)(?:{UNIT})\s+#?\s*(?:\d+\s?[a-z]?|[a-z])(?=\s|$)")
+#: Post office boxes in full and abbreviated.
+BOX = r"p\s*o\s*b(?:ox)?|po\s*box|post\s*office\s*box|postbox|pob|box"
+
+
+def _written(table: dict[str, str]) -> dict[str, str]:
+    return {w: k for k, ws in table.items() for w in ws.split()}
+
+
+@dataclass(frozen=True)
+class Locale:
+    """The dictionaries of a language: full words with the ways to write them, and patterns of what stands before numbers.
+
+    With `attached`, a street's type may be the end of its name's last word. `order` gives the ordinals in words, from the first on.
+    """
+
+    types: dict[str, str]
+    directions: dict[str, str]
+    town_words: dict[str, str]
+    order: tuple[str, ...] = ()
+    unit: str = UNIT
+    number: str = NUMBER
+    box: str = BOX
+    attached: bool = False
+
+    @cached_property
+    def type_of(self) -> dict[str, str]:
+        return _written(self.types)
+
+    @cached_property
+    def direction_of(self) -> dict[str, str]:
+        return _written(self.directions)
+
+    @cached_property
+    def town_word_of(self) -> dict[str, str]:
+        return _written(self.town_words)
+
+    @cached_property
+    def ordinal_of(self) -> dict[str, str]:
+        return {w: str(i + 1) for i, w in enumerate(self.order)}
+
+    @cached_property
+    def patterns(self) -> dict[str, re.Pattern]:
+        part = r"(?:\d+\s?[a-z]?|[a-z])"
+        return {
+            "box": re.compile(rf"^(?:{self.box})\s*#?\s*(?:no\s+|nr\s+)?(\d+)\b\s*"),
+            "unit": re.compile(rf"(?:^|\s)(?:{self.unit})\s+#?\s*{part}(?=\s|$)"),
+            "only": re.compile(rf"^(?:(?:{self.unit})\s*#?\s*{part}|#\s*\d+\s?[a-z]?)$"),
+            "first": re.compile(rf"^(?:(?:{self.number})\s+)?#?\s*(\d+)[\s-]?([a-z])?(?=\s|$)\s*"),
+            "final": re.compile(rf"(?:^|\s)(?:(?:{self.number})\s+)?#?\s*(\d+)[\s-]?([a-z])?$"),
+        }
+
+    def split(self, w: str) -> tuple[str, str]:
+        """A word's beginning and the type that it ends in, "" without one."""
+        ends = [k for k in self.type_of if len(k) > 2 and len(w) - len(k) >= 3 and w.endswith(k)] if self.attached else []
+        k = max(ends, key=len, default="")
+        return (w[: len(w) - len(k)], self.type_of[k]) if k else (w, "")
+
+
+ENGLISH = Locale(TYPES, DIRECTIONS, TOWN_WORDS, tuple(ORDINALS))
+#: German street types, directions, first words of towns, and what stands before numbers.
+GERMAN = Locale(
+    {"strasse": "strasse str", "weg": "weg wg", "platz": "platz pl", "gasse": "gasse g", "allee": "allee al", "ring": "ring", "damm": "damm", "ufer": "ufer", "chaussee": "chaussee ch"},
+    {"nord": "nord n", "sued": "sued sud s", "ost": "ost o", "west": "west w"},
+    {"sankt": "sankt st", "bad": "bad", "neu": "neu", "alt": "alt"},
+    unit="wohnung|whg|etage|stock|og|zimmer|haus|apartment|apt",
+    number="nr|nummer|hausnummer",
+    box="postfach|pf",
+    attached=True,
+)
 _UNIT_SIGN = re.compile(r"(?:^|\s)#\s*\d+\s?[a-z]?(?=\s|$)")
-_UNIT_ONLY = re.compile(rf"^(?:(?:{UNIT})\s*#?\s*(?:\d+\s?[a-z]?|[a-z])|#\s*\d+\s?[a-z]?)$")
-_FIRST = re.compile(rf"^(?:(?:{NUMBER})\s+)?#?\s*(\d+)[\s-]?([a-z])?(?=\s|$)\s*")
-_FINAL = re.compile(rf"(?:^|\s)(?:(?:{NUMBER})\s+)?#?\s*(\d+)[\s-]?([a-z])?$")
 _TAIL = re.compile(r"^(?P<city>.*?)[\s,]*(?:\b(?P<state>[a-z]{2}))?[\s,]*(?P<zip>\d{5}(?:-\d{4})?|\d{4})?$")
 
 
@@ -66,16 +128,16 @@ def plain(s: str | None) -> str:
         return ""
     s = s.casefold()
     if not s.isascii():
-        s = "".join(c for c in unicodedata.normalize("NFKD", s.replace("ø", "o").replace("æ", "ae")) if not unicodedata.combining(c))
+        s = "".join(c for c in unicodedata.normalize("NFKD", s.replace("ø", "o").replace("æ", "ae").replace("ß", "ss")) if not unicodedata.combining(c))
     s = re.sub(r"\b([a-z])\.\s?(?=[a-z]\b\.?)", r"\1", s)  # p.o. becomes po
     return " ".join(re.sub(r"[^a-z0-9,#-]", " ", s).split())
 
 
-def _city(s: str) -> str:
+def _city(s: str, locale: Locale = ENGLISH) -> str:
     """A town's name with its first word in full."""
     words = re.sub(r"[^a-z ]", "", s.replace("-", " ")).split()
-    if len(words) > 1 and words[0] in _TOWN:
-        words[0] = _TOWN[words[0]]
+    if len(words) > 1 and words[0] in locale.town_word_of:
+        words[0] = locale.town_word_of[words[0]]
     return " ".join(words)
 
 
@@ -87,26 +149,29 @@ def _zip(s: str) -> str:
 _LOOKALIKE = str.maketrans("015", "ols")
 
 
-def _street(s: str) -> tuple[str, str, str]:
+def _street(s: str, locale: Locale = ENGLISH) -> tuple[str, str, str]:
     """Direction, name and type of a street, "" if missing. What stands before the name's last word is part of the name."""
     words = s.replace(",", " ").replace("#", " ").replace("-", "").split()
+    directions, types, ordinals = locale.direction_of, locale.type_of, locale.ordinal_of
     direction = kind = ""
-    if len(words) > 1 and words[-1] in _DIRECTION and words[0] not in _DIRECTION:
-        direction = _DIRECTION[words.pop()]
-    elif len(words) > 1 and words[0] in _DIRECTION:
-        direction = _DIRECTION[words.pop(0)]
-    if len(words) > 1 and words[-1] in _TYPE:
-        kind = _TYPE[words.pop()]
-        if not direction and len(words) > 1 and words[-1] in _DIRECTION:
-            direction = _DIRECTION[words.pop()]
-    elif len(words) > 1 and words[0] in _TYPE and words[0] not in ("st", "la"):
-        kind = _TYPE[words.pop(0)]
-    if not direction and len(words) > 1 and words[0] in _DIRECTION:
-        direction = _DIRECTION[words.pop(0)]
+    if len(words) > 1 and words[-1] in directions and words[0] not in directions:
+        direction = directions[words.pop()]
+    elif len(words) > 1 and words[0] in directions:
+        direction = directions[words.pop(0)]
+    if len(words) > 1 and words[-1] in types:
+        kind = types[words.pop()]
+        if not direction and len(words) > 1 and words[-1] in directions:
+            direction = directions[words.pop()]
+    elif len(words) > 1 and words[0] in types and words[0] not in ("st", "la"):
+        kind = types[words.pop(0)]
+    if not direction and len(words) > 1 and words[0] in directions:
+        direction = directions[words.pop(0)]
+    if not kind and words:
+        words[-1], kind = locale.split(words[-1])
     named = []
     for w in words:
-        if w in _ORDINAL:
-            w = _ORDINAL[w]
+        if w in ordinals:
+            w = ordinals[w]
         elif m := re.fullmatch(r"(\d+)(?:st|nd|rd|th)", w):
             w = m[1]
         elif re.search("[a-z]", w) and re.search(r"\d", w):
@@ -115,18 +180,20 @@ def _street(s: str) -> tuple[str, str, str]:
     return direction, " ".join(named), kind
 
 
-def parse(street1: str | None, street2: str | None, city: str | None, state: str | None, postal: str | None) -> tuple[str, str, str, str, str, str, str, str]:
+def parse(street1: str | None, street2: str | None, city: str | None, state: str | None, postal: str | None, locale: Locale = ENGLISH) -> tuple[str, str, str, str, str, str, str, str]:
     """(kind, number, direction, name, type, city, state, zip) with "" for what is missing; kind is "house", "box" or ""."""
+    is_ = locale.patterns
+    city_of = lambda x: _city(x, locale)
     lines = [plain(street1).strip(" ,"), plain(street2).strip(" ,")]
     city_text, state_text, zip_text = plain(city).strip(" ,"), plain(state).strip(" ,"), plain(postal)
-    place, region, code = _city(city_text), state_text if re.fullmatch("[a-z]{2}", state_text) else "", _zip(zip_text)
+    place, region, code = city_of(city_text), state_text if re.fullmatch("[a-z]{2}", state_text) else "", _zip(zip_text)
     if city_text and (re.search(r"\d", city_text) or "," in city_text):
         t = re.sub(r"^(\d{4,5}(?:-\d{4})?)[\s,]+", lambda m: "", city_text)
         if t != city_text:
             code = code or _zip(city_text.split()[0].strip(","))
         m = re.match(r"^(?P<city>.*?),?\s*(?:,\s*(?P<state>[a-z]{2}))?\s*(?P<zip>\d{4,5}(?:-\d{4})?)?$", t)
         if m:
-            place, region, code = _city(m["city"]), region or m["state"] or "", code or _zip(m["zip"] or "")
+            place, region, code = city_of(m["city"]), region or m["state"] or "", code or _zip(m["zip"] or "")
     if state_text and not region:
         m = _TAIL.match(state_text)
         if m and m["state"] and not m["city"]:
@@ -140,21 +207,21 @@ def parse(street1: str | None, street2: str | None, city: str | None, state: str
             region, code = region or m[1], code or _zip(m[2] or "")
             parts.pop()
             if len(parts) > 1:
-                place = _city(parts.pop())
+                place = city_of(parts.pop())
         elif m := re.fullmatch(r"([a-z .-]+?)\s+([a-z]{2})\s+(\d{4,5}(?:-\d{4})?)", end):
-            place, region, code = _city(m[1]), region or m[2], code or _zip(m[3])
+            place, region, code = city_of(m[1]), region or m[2], code or _zip(m[3])
             parts.pop()
     text = " ".join(parts)
-    if not text or _UNIT_ONLY.match(text):
+    if not text or is_["only"].match(text):
         text = lines[1].replace(",", " ")
     text = " ".join(text.replace(" - ", " ").split())
-    if m := _BOX.match(text):
+    if m := is_["box"].match(text):
         return "box", m[1].lstrip("0"), "", "", "", place, region, code
-    if lines[1] and (m := _BOX.match(lines[1])) and not re.search(r"\d", text):
+    if lines[1] and (m := is_["box"].match(lines[1])) and not re.search(r"\d", text):
         return "box", m[1].lstrip("0"), "", "", "", place, region, code
-    text = " ".join(_UNIT.sub(" ", f" {text} ").split())
+    text = " ".join(is_["unit"].sub(" ", f" {text} ").split())
     number = ""
-    if m := _FIRST.match(text):
+    if m := is_["first"].match(text):
         rest = text[m.end() :]
         # a single letter is a direction rather than the number's letter if the street has none and it may be one
         letter = m[2] or ""
@@ -164,11 +231,11 @@ def parse(street1: str | None, street2: str | None, city: str | None, state: str
             number, text = m[1].lstrip("0") + letter, rest
     if number or re.search(r"\d[a-z]?\s+#\s*\d+\s?[a-z]?$", text):
         text = " ".join(_UNIT_SIGN.sub(" ", f" {text} ").split())
-    if not number and (m := _FINAL.search(text)):
+    if not number and (m := is_["final"].search(text)):
         number, text = m[1].lstrip("0") + (m[2] or ""), text[: m.start()].strip()
     if not number:
         return "", "", "", "", "", place, region, code
-    direction, name, kind = _street(text)
+    direction, name, kind = _street(text, locale)
     return "house" if name else "", number, direction, name, kind, place, region, code
 
 
@@ -176,7 +243,7 @@ COLUMNS = ("street1", "street2", "city", "state", "postal_code")
 _PARSED = "kind string, number string, direction string, name string, type string, city string, state string, zip string"
 
 
-def parsed(addresses: DataFrame, id: str = "record_id") -> DataFrame:
+def parsed(addresses: DataFrame, id: str = "record_id", locale: Locale = ENGLISH) -> DataFrame:
     """Column id and the parts that parse() finds, a row a record. If deliveries differ, the least one counts; a null id is no record."""
     kind = addresses.schema[id].dataType.simpleString()
     rows = spread(materialize(once(addresses.select(F.col(id).alias("id"), *COLUMNS), "id", *COLUMNS)))
@@ -185,7 +252,7 @@ def parsed(addresses: DataFrame, id: str = "record_id") -> DataFrame:
         names = [c.split()[0] for c in _PARSED.split(", ")]
         for pdf in batches:
             values = pdf[list(COLUMNS)].astype(object).where(pdf[list(COLUMNS)].notna(), None)
-            out = pd.DataFrame([parse(*r) for r in values.itertuples(index=False)], columns=names, dtype=object)
+            out = pd.DataFrame([parse(*r, locale) for r in values.itertuples(index=False)], columns=names, dtype=object)
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
@@ -286,15 +353,15 @@ def _completed(houses: DataFrame) -> DataFrame:
     return f.select("town", "number", "street", "direction", "type", F.coalesce("pick.direction", "direction").alias("full_direction"), F.coalesce("pick.type", "type").alias("full_type"))
 
 
-def locations(addresses: DataFrame, id: str = "record_id") -> DataFrame:
+def locations(addresses: DataFrame, id: str = "record_id", locale: Locale = ENGLISH) -> DataFrame:
     """Columns {id} and location for each record whose address has a house number and street, or a post office box.
 
     Lines are parsed (number, direction, name, type; units and floors are left out), abbreviations written in full, the town found by name
     and postal code, misspelt streets set right by the town's frequent ones, and a missing type or direction
-    taken from the records that fit, if these agree. Equal parts are one location. Records with neither, or without an id, have no row;
+    taken from the records that fit, if these agree. The dictionaries are those of `locale`. Equal parts are one location. Records with neither, or without an id, have no row;
     empty tables give none. Further columns don't matter.
     """
-    p = materialize(parsed(addresses, id))
+    p = materialize(parsed(addresses, id, locale))
     towns = materialize(_towns(p))
     key = F.concat_ws("\u0001", "city", "state", "zip")
     p = lookup(p.where(F.col("kind") != "").withColumn("place", key), towns.select(key.alias("place"), "town"), "place")
@@ -311,8 +378,8 @@ def locations(addresses: DataFrame, id: str = "record_id") -> DataFrame:
     return boxes.unionByName(found).withColumnRenamed("id", id)
 
 
-def same_location(addresses: DataFrame, id: str = "record_id") -> DataFrame:
+def same_location(addresses: DataFrame, id: str = "record_id", locale: Locale = ENGLISH) -> DataFrame:
     """Columns {id}_l and {id}_r, smaller id first: all pairs of records of one location. See locations()."""
     from kinweave.llm.groups import pairs_of_groups
 
-    return pairs_of_groups(locations(addresses, id), id, "location")
+    return pairs_of_groups(locations(addresses, id, locale), id, "location")

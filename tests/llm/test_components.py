@@ -69,3 +69,19 @@ def test_pairs_of_groups(table, block):
     want = sorted((a, b) for a, g in members for b, h in members if a < b and g == h)
     got = pairs_of_groups(table(members, "record_id long, g string"), "record_id", "g", block)
     assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["dense", "chain"])
+def test_edges_shrink_every_round(table, monkeypatch, kind):
+    rng = random.Random(kind)
+    edges = [(a, b) for a in range(70) for b in range(a)] if kind == "dense" else [(i * 37 % 3001, (i + 1) * 37 % 3001) for i in range(3000)]
+    rng.shuffle(edges)
+    seen, real = [], components._forests
+
+    def counted(part, id_type, salt):
+        seen.append(part.count())
+        return real(part, id_type, salt)
+
+    monkeypatch.setattr(components, "_forests", counted)
+    assert set(groups(table([(*e, 0) for e in edges], LINKS), edges_per_task=100).values()) == {0}
+    assert len(seen) > 1 and all(b <= 0.8 * a for a, b in zip(seen, seen[1:], strict=False)), seen

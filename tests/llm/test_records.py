@@ -41,6 +41,19 @@ def test_address_parts(line, want):
     assert addresses.parse(*line) == want
 
 
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        (("Lindenstr. 12", None, "St. Ansgar", None, "20357"), ("house", "12", "", "linden", "strasse", "sankt ansgar", "", "20357")),
+        (("LINDENSTRASSE Nr 12a", "Whg 3", "Sankt Ansgar", None, "20357"), ("house", "12a", "", "linden", "strasse", "sankt ansgar", "", "20357")),
+        (("Alter Markt Platz 4", None, "Bad Ort", None, None), ("house", "4", "", "alter markt", "platz", "bad ort", "", "")),
+        (("Postfach 1200", None, "Ort", None, "10115"), ("box", "1200", "", "", "", "ort", "", "10115")),
+    ],
+)
+def test_address_parts_of_another_locale(line, want):
+    assert addresses.parse(*line, addresses.GERMAN) == want
+
+
 def test_same_location(table):
     town = [(100 + i, f"{i} Filler St", None, "Oldtown", "AA", "11111", None, "t") for i in range(1, 8)] + [(200 + i, f"{i} Filler St", None, "Newtown", "BB", "22222", None, "t") for i in range(1, 8)]
     rows = [

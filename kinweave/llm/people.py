@@ -241,14 +241,26 @@ def _near(w: str) -> list[str]:
 class Givens:
     """Known given names. A name of five letters or more is also known if it is a known one's typo: a letter more, less or another, or two that changed places."""
 
+    #: Words of which it is remembered whether they are known.
+    KEPT = 200_000
+
     def __init__(self, names: Words):
         self.names = names
+        self._seen: dict[str, bool] = {}
 
     @classmethod
     def of(cls, words: DataFrame, word: str) -> Givens:
         return cls(Words.of(words, word, lambda w: _near(w) if len(w) >= 5 else ()))
 
     def __contains__(self, w: str) -> bool:
+        known = self._seen.get(w)
+        if known is None:
+            if len(self._seen) > self.KEPT:
+                self._seen.clear()
+            known = self._seen[w] = self._known(w)
+        return known
+
+    def _known(self, w: str) -> bool:
         if w in self.names:
             return True
         if len(w) < 5:

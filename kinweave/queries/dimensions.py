@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kinweave.functions import contacts, vectors
@@ -16,7 +14,7 @@ from kinweave.operators.model import Links, UnionTable, n_total
 from kinweave.operators.sampling import sample_all_links, sample_table
 from kinweave.queries.linkage import CUSTOMER, customers, parts, t
 from kinweave.queries.models import NAME, PRICE, WEIGHTS, _pairs
-from kinweave.runtime import materialize, once, scratch_dir
+from kinweave.runtime import materialize, once, temporary
 from kinweave.sources.io import links_from_labels, read_csv
 
 
@@ -226,7 +224,7 @@ def one_comparison(s, d):
 
 def labels_by_csv(s, d):
     """A table written as CSV in the layout of a published set of records and read back with its links."""
-    at = f"{scratch_dir(s)}/kinweave-{uuid.uuid4().hex}"
+    at = temporary(s)
     r = once(t(s, d, "rldata_left"), "record_id", "label_true", "fname_c1", "fname_c2", "lname_c1", "lname_c2", "by_year", "bm", "bd").where("label_true is not null")
     r.write.option("header", True).csv(at)
     back = read_csv(s, at, "record_id long, label_true long, fname_c1 string, fname_c2 string, lname_c1 string, lname_c2 string, by_year long, bm long, bd long")

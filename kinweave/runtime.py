@@ -47,12 +47,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def temporary(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one, to be deleted at exit."""
+    at = f"{scratch_dir(spark)}/kinweave-{uuid.uuid4().hex}"
+    _written.append((spark, at))
+    return at
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    at = f"{scratch_dir(spark)}/kinweave-{uuid.uuid4().hex}"
+    spark, at = df.sparkSession, temporary(df.sparkSession)
     df.write.parquet(at)
-    _written.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 
 

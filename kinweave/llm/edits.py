@@ -82,7 +82,8 @@ def close_pairs(few: DataFrame, many: DataFrame, text: str, same: list[str], mos
         df = df.where(F.length(text) > 0).withColumn("close", close(text))
         return df.select(*same, F.col(text).alias(n), F.col("n").alias(f"{n}_n"), F.explode(every).alias("key"))
 
-    met = keys(few, "a").join(keys(many, "other"), ["key", *same]).where(F.col("a") != F.col("other"))
+    # Spark takes a table of keys to be as large as that of the texts, and would send one of many times that size through the driver
+    met = keys(few, "a").join(keys(many, "other").hint("merge"), ["key", *same]).where(F.col("a") != F.col("other"))
     if more:
         met = met.where(F.col("other_n") >= F.col("a_n"))
     met = met.where((F.abs(F.length("a") - F.length("other")) <= most) & (F.levenshtein("a", "other", 2 * most) >= 0))

@@ -140,6 +140,14 @@ def test_close_pairs_finds_all_within_two_edits(table):
     assert {(r["other"], r["name"]) for r in got.collect()} == set(words)
 
 
+def test_keys_of_texts_are_never_broadcast(table):
+    from kinweave.plans.joins import join_algorithm
+    from kinweave.runtime import materialize
+
+    names = materialize(table([("t", f"zaneport{i}", 2) for i in range(50)], "town string, name string, n long"))
+    assert join_algorithm(edits.close_pairs(names, names, "name", ["town"])) == "SortMergeJoin"
+
+
 def test_variants_meet_whatever_the_length_of_the_surname(table):
     cases = [
         ("Robert", "duribey", (1950, 4, 17), "Robert", "duribley", (1950, 4, 18)),  # a letter more, and a slip in one part of the date

@@ -310,3 +310,28 @@ def test_calibration_stays_finite_and_splits_the_pairs():
         assert np.isfinite(w).all() and (((matching.basis(x) @ w) > 0) == (y == 1)).mean() > 0.999
     assert np.allclose(matching.calibrate(np.zeros((0, n_features)), np.zeros(0)), matching.START)
     assert np.allclose(matching.basis(np.full((2, n_features), 0.275))[:, 3:5], 0.5)
+
+
+def test_vectors_centres_and_weights_come_from_all_records(table, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(matching, "BLOCK", 400)
+    ps = persons(6_000, 7)
+    found = [people.Person((g if k % 2 else f"{g}{'xyz'[k % 3]}",), (s,), y % 100, m, d) for g, s, y, m, d in ps for k in (int(rng.integers(6)), 1)]
+    rows = [(i, "l", matching._dump(p), matching.meeting(p)) for i, p in enumerate(found)]
+    df = table(rows, "id long, side string, text string, meeting string")
+    trained = matching._trained(df, 11)
+    given = {f"c={p.given[0]}" for p in found}
+    assert set(trained) == given and all(not np.allclose(trained[t], embed.drawn(t)) for t in given)
+    model = matching.Model(trained, people.Givens(people.Words()), [])
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    model.centre(matching._centre_sums(df, sent))
+    want = np.mean([model._sum("y", matching.attributes(p)["year"]) for p in found], axis=0)  # 12,000 persons
+    assert np.allclose(model.centres["y"], want, atol=1e-4)
+    n = 120_000
+    y = rng.random(n) < 0.1
+    y[: n // 2] = False  # any part of the rows has another share of true pairs
+    x = np.clip(np.where(y, 0.7, 0.3)[:, None] + rng.normal(0, 0.3, (n, len(matching.FEATURES))), -1, 1).astype(np.float32)
+    import pandas as pd
+
+    scored = df.sparkSession.createDataFrame(pd.DataFrame({"id_l": np.arange(n), "id_r": np.arange(n), "label_l": "a", "label_r": np.where(y, "a", "b"), "x": matching._rows(x)}))
+    assert np.allclose(matching._weights(scored), matching.calibrate(x, y.astype(float)), atol=1e-5)

@@ -335,3 +335,20 @@ def test_vectors_centres_and_weights_come_from_all_records(table, monkeypatch):
 
     scored = df.sparkSession.createDataFrame(pd.DataFrame({"id_l": np.arange(n), "id_r": np.arange(n), "label_l": "a", "label_r": np.where(y, "a", "b"), "x": matching._rows(x)}))
     assert np.allclose(matching._weights(scored), matching.calibrate(x, y.astype(float)), atol=1e-5)
+
+
+def test_cosines_multiply_each_two_values_once(monkeypatch):
+    ps = [people.person([g, "Anna" if k % 9 == 0 else None], [s], y, mo, d) for k, (g, s, y, mo, d) in enumerate(persons(300, 4))]
+    m = matching.Model({}, people.Givens(people.Words()), ps)
+    texts = [matching._dump(p) for p in ps]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(150), np.arange(150, 300)))
+    done, plain = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, u, v: done.append(len(u)) or plain(how, u, v))
+    got = m.cosines(texts, left, right)
+    each = [dict(matching.attributes(p)) for p in ps]
+    for k in range(0, len(left), 997):
+        a, b = each[left[k]], each[right[k]]
+        for f in ("year", "pair"):
+            assert abs(got[k, list(matching.FEATURES).index(f)] - float(m.vector(f[0], a[f]) @ m.vector(f[0], b[f]))) < 1e-5
+        assert np.isnan(got[k, list(matching.FEATURES).index("middle")]) == ("middle" not in a or "middle" not in b)
+    assert sum(done) < 4 * len(left)  # of more than twenty cosines

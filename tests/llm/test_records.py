@@ -352,3 +352,24 @@ def test_cosines_multiply_each_two_values_once(monkeypatch):
             assert abs(got[k, list(matching.FEATURES).index(f)] - float(m.vector(f[0], a[f]) @ m.vector(f[0], b[f]))) < 1e-5
         assert np.isnan(got[k, list(matching.FEATURES).index("middle")]) == ("middle" not in a or "middle" not in b)
     assert sum(done) < 4 * len(left)  # of more than twenty cosines
+
+
+def test_pairs_that_no_date_can_save_are_left_out_before_they_are_scored(table):
+    rng = np.random.default_rng(21)
+    names = ["robert", "bob", "rob", "william", "bill", "elizabeth", "liz", "katherine", "james", "anna", "r", "theodore", None]
+    forms = []
+    for i in range(260):
+        given = names[int(rng.integers(len(names)))]
+        given = edited(rng, given, int(rng.integers(0, 3))) if given else given
+        surname = edited(rng, ("lorgen", "tolvekmar", "li", "haraldsonnen")[i % 4], int(rng.integers(0, 4)))
+        record = {"fname_c1": given, "lname_c1": surname, "name": {"given": None}, "by_year": 1950, "bm": 4, "bd": 17}
+        found = variants.form_of(record, people.Givens(people.Words()), variants.Vocabulary({}))
+        if found and surname:
+            surnames = variants._load(found[0])[1].surname
+            forms.append((i, found[0], surnames[0] if len(surnames) == 1 else None, found[5], found[6]))
+    schema = "form long, text string, surname string, given string, formal array<string>"
+    side = lambda x: table(forms, schema).toDF(*(f"{x}_{c}" for c in ("form", "text", "surname", "given", "formal")))
+    both = side("a").crossJoin(side("b")).withColumn("kept", variants._may_be_close("a", "b")).select("a_text", "b_text", "kept").collect()
+    assert len(both) == len(forms) ** 2
+    accepted = [r["kept"] for r in both if variants.log_likelihood(r["a_text"], r["b_text"], frozenset()) >= 0]
+    assert all(accepted) and len(accepted) > 1_000 and sum(r["kept"] for r in both) < 0.25 * len(both)

@@ -14,6 +14,7 @@ from kinweave.operators.fs import LevelWeights, Weights, em, level_proportions,
 from kinweave.operators.linkers import EmptyLinker, FullLinker, IDLinker, JoinLinker, KeyLinker, MinhashLshLinker, NameBlocker, OrLinker, UnnestLinker, p_blocked
 from kinweave.operators.model import Datasets, Linkage, Links, UnionTable, check_links, filter_links, n_total
 from kinweave.operators.sampling import sample_all_links, sample_table
+from kinweave.operators.within import pairs_within
 from kinweave.plans.joins import check_join_algorithm, n_naive_comparisons
 
 from .conftest import rows
@@ -372,3 +373,24 @@ def test_join_linker_near(table):
     assert rows(near(d, d.select("*").where("k = 1")).links) == rows(JoinLinker(on)(d, d.select("*").where("k = 1")).links)
     many = d.sparkSession.range(60_000).selectExpr("id AS record_id", "1L AS k", "id * 5.0D AS x")  # 1.8 billion pairs agree in k
     assert near(many, many).links.count() == 59_999
+
+
+def test_pairs_within(table, monkeypatch):
+    """Scores are worked out once for each two values, not for each pair; the rows are those of the join."""
+    from kinweave.operators import within
+
+    monkeypatch.setattr(within, "BLOCK", 3)
+    some = [(i, "uv"[i % 2] if i % 9 else None, [None, "p", "q", "r"][i % 4]) for i in range(40)] + [(None, "u", "p"), (7, "v", "q"), (7, "v", "q")]
+    d = table(some, "id long, k string, v string")
+    calls = d.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def joined(a, b):
+        calls.add(1)
+        return None if a is None or b is None else "".join(sorted([a, b]))
+
+    out = rows(pairs_within(d, "id", ["k"], ["v"], lambda a, b: {"both": joined(a("v"), b("v")), "own": (a("v"), b("v"))}))
+    made = calls.value
+    a, b = d.toDF("l", "k", "x"), d.toDF("r", "k", "y")
+    assert out == rows(a.join(b, "k").where("l < r").select("l", "r", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.concat(F.least("x", "y"), F.greatest("x", "y"))), "x"))
+    assert made < len(out)
